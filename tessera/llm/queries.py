@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.hosts import OP3_SQL, op3_host_rules
 from tessera.llm.packing import op5_packing
+from tessera.llm.shards import op4_sharding
+from tessera.llm.simhash import op8_simhash_near_dedup
 from tessera.llm.tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_host_rules": op3_host_rules,
+    "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_host_rules": OP3_SQL,
+}
