@@ -424,6 +424,12 @@ class Db:
         """Remembers what is stored, so that a commit can tell whether another writer was there."""
         self._seen = {m.table: self._files(f"{directory}/{m.table}.parquet") for m in self.registry.models.values()}
 
+    def _check_unchanged(self, directory: str) -> None:
+        """Of any watched table, since new values may have been made from any."""
+        for name, files in self._seen.items():
+            if self._files(f"{directory}/{name}.parquet") != files:
+                raise SerializationFailure(f"{name} has changed since it was read")
+
     def commit(self, directory: str) -> list[str]:
         """Writes all changed tables under ``directory`` beside the old ones, then swaps them in. Returns their names."""
         if len(self._layers) > 1:
@@ -432,11 +438,11 @@ class Db:
         stage = f"{directory}/.staging-{uuid.uuid4().hex}"
         fs, stage_path = self._fs(stage)
         try:
+            # Before, as what another writer has swapped out can't be read, and after, as it may come meanwhile.
+            self._check_unchanged(directory)
             for name, df in changed.items():
                 df.write.parquet(f"{stage}/{name}.parquet")
-            for name in changed:
-                if name in self._seen and self._files(f"{directory}/{name}.parquet") != self._seen[name]:
-                    raise SerializationFailure(f"{name} has changed since it was read")
+            self._check_unchanged(directory)
             for name in changed:
                 _, new = self._fs(f"{stage}/{name}.parquet")
                 _, target = self._fs(f"{directory}/{name}.parquet")
