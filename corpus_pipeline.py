@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import read_table, shared_dir
+from tessera.llm.common import free_names, read_table, shared_dir
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.pii import pseudonymised
@@ -26,11 +26,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymised(docs).select(*docs.columns)
+    (replaced,) = free_names(docs, "pii_replaced")
+    return pseudonymised(docs, replaced=replaced).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs).select(*docs.columns)
+    copy, order = free_names(docs, "mix_copy", "mix_order")
+    return mixed(docs, copy=copy, order=order).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

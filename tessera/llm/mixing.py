@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, written
+from tessera.llm.common import free_names, read_table, written
 
 SEED = 7
 #: Above it a rate is split, so that e^-rate stays far from zero.
@@ -55,25 +55,25 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     return out.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step)["cdf"]).select("source", "n", "rate", "draws", "cdf")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` with mix_copy (from 1) and mix_order, in mix_order."""
-    table = written(rates(docs, source, weights, size).select(F.col("source").alias("mix_source"), "rate", "draws", "cdf"), "rates")
-    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    rows = docs.withColumn("mix_name", name)
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = SEED, copy: str = "mix_copy", order: str = "mix_order") -> DataFrame:
+    """All columns of ``docs`` with the number of the copy (from 1) and the sort key, in its order."""
+    their_source, name, draws, cdf, salt, their_salt, number = free_names(docs, "mix_source", "mix_name", "mix_draws", "mix_cdf", "mix_salt", "mix_their_salt", "mix_n")
+    table = written(rates(docs, source, weights, size).select(F.col("source").alias(their_source), F.col("draws").alias(draws), F.col("cdf").alias(cdf)), "rates")
+    rows = docs.withColumn(name, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    same = F.col(source).eqNullSafe(F.col(their_source))
     if table.count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("mix_source")))
+        rows = rows.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("mix_name", text), F.lit(SALTS)).cast("int"))
-        rows = rows.join(salted.withColumnRenamed("mix_salt", "salt"), F.col(source).eqNullSafe(F.col("mix_source")) & (F.col("mix_salt") == F.col("salt"))).drop("mix_salt", "salt")
+        salted = table.withColumn(their_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(name, text), F.lit(SALTS)).cast("int"))
+        rows = rows.join(salted, same & (F.col(salt) == F.col(their_salt)))
     seeds = F.lit(str(seed))
     # One element at a time, so that each draw is hashed once and then compared with the terms.
-    drawn = lambda j: F.aggregate(F.transform(F.array(unit(seeds, F.col("mix_name"), j.cast("string"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + drawn(j))
-    rows = rows.withColumn("mix_n", copies).where("mix_n > 0")
-    rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), "mix_name", F.col("mix_copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    return rows.withColumn("mix_order", order).drop("mix_source", "mix_name", "rate", "draws", "cdf", "mix_n").orderBy("mix_order")
+    drawn = lambda j: F.aggregate(F.transform(F.array(unit(seeds, F.col(name), j.cast("string"))), lambda u: F.size(F.filter(cdf, lambda c: c <= u))), F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumn(number, F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, j: a + drawn(j))).where(F.col(number) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number))))
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), name, F.col(copy).cast("string"))), 1, 15), 16, 10).cast("long")
+    return rows.withColumn(order, place).select(*docs.columns, copy, order).orderBy(order)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import free_names, read_table
 
 #: A deployment passes its own key.
 KEY = "tessera demonstration key"
@@ -193,18 +193,19 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with its text column pseudonymised and pii_replaced, the number of values replaced."""
+def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", replaced: str = "pii_replaced") -> DataFrame:
+    """``docs`` with its text column pseudonymised, and the number of values replaced."""
     t = F.col(text)
-    others = [c for c in docs.columns if c != text]
+    (looked,) = free_names(docs, "pii_looked")
     found = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
-    looked = F.when(t.rlike("[0-9@=:]"), F.struct(F.split(t, ANY, -1).alias("between"), found.alias("found")))
-    rows = docs.select(*others, t, F.inline(F.array(F.struct(looked.alias("pii_looked")))))
-    joined = F.array_join(F.zip_with("pii_looked.between", "pii_looked.found", lambda a, m: F.concat(a, F.coalesce(m["new"], F.lit("")))), "")
-    count = F.size(F.filter("pii_looked.found", lambda m: m["old"] != m["new"])).cast("long")
-    seen = F.col("pii_looked").isNotNull()
+    # Bound by a column of its own, so that it is computed once.
+    parts = F.when(t.rlike("[0-9@=:]"), F.struct(F.split(t, ANY, -1).alias("between"), found.alias("found")))
+    rows = docs.select(*docs.columns, F.inline(F.array(F.struct(parts.alias(looked)))))
+    between, found, seen = F.col(looked)["between"], F.col(looked)["found"], F.col(looked).isNotNull()
+    joined = F.array_join(F.zip_with(between, found, lambda a, m: F.concat(a, F.coalesce(m["new"], F.lit("")))), "")
+    count = F.size(F.filter(found, lambda m: m["old"] != m["new"])).cast("long")
     columns = [F.when(seen, joined).otherwise(t).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return rows.select(*columns, F.when(seen, count).otherwise(F.lit(0)).cast("long").alias("pii_replaced"))
+    return rows.select(*columns, F.when(seen, count).otherwise(F.lit(0)).cast("long").alias(replaced))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, read_table, text_or_empty, written
+from tessera.llm.common import chunks, free_names, read_table, text_or_empty, written
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -202,17 +202,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row of its least doc_id stays, and of several such
     rows one. A row without a doc_id goes if its component has rows with one; else one row of the component's stays."""
-    name = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit("no id"), text))
-    named = docs.withColumn("dedup_key", name)
-    found = near_duplicates(named.select(F.col(key).isNull().alias("none"), F.col("dedup_key"), text), text, "dedup_key").select("doc_id", "component_id")
+    (name,) = free_names(docs, "dedup_key")
+    named = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit("no id"), text)))
+    found = near_duplicates(named.select(name, text), text, name).select("doc_id", "component_id")
     # Where ids lack, a hash stands for them; it is least in its component only by chance, so real ids are preferred.
-    if docs.schema[key].nullable:
-        real = docs.select(F.col(key).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-        least = found.join(real, "doc_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("least"))
-        found = found.join(least, "component_id", "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id"))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("dedup_rows")).withColumnRenamed("doc_id", "dedup_key")
-    stay = written(stay, "stay")
-    kept = named.join(stay.where("dedup_rows = 1").select("dedup_key"), "dedup_key", "left_semi")
+    real = docs.select(F.col(key).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    least = found.join(real, "doc_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    found = found.join(least, "component_id", "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id"))
+    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    stay = written(stay.select(F.col("doc_id").alias(name), "rows"), "stay")
+    kept = named.join(stay.where("rows = 1").select(name), name, "left_semi")
     # Rows that repeat a doc_id are rare; one of them stays.
-    several = named.join(stay.where("dedup_rows > 1").select("dedup_key"), "dedup_key", "left_semi").dropDuplicates(["dedup_key"])
-    return kept.unionByName(several).select(*docs.columns)
+    several = named.join(stay.where("rows > 1").select(name), name, "left_semi").dropDuplicates([name])
+    return kept.select(*docs.columns).unionByName(several.select(*docs.columns))

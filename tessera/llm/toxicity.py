@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import read_table, text_or_empty
+from tessera.llm.common import free_names, read_table, text_or_empty
 
 SIZES = (4, 5)
 BITS = 20
@@ -143,8 +144,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with ``keep`` all columns and tox_score."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", key: str = "doc_id", keep: str | None = None) -> DataFrame:
+    """doc_id and score of every row; with ``keep`` all columns and the score by that name."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers
 
@@ -164,9 +165,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 values = score(batch.column(batch.schema.get_field_index(text)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "tox_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, keep])
 
-        return docs.mapInArrow(run, docs.schema.add("tox_score", "double"))
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(keep, DoubleType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +179,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that aren't rejected as toxic."""
-    return scored(docs, trained(docs, labels), keep=True).where(F.col("tox_score") < threshold).select(*docs.columns)
+    (score,) = free_names(docs, "tox_score")
+    return scored(docs, trained(docs, labels), keep=score).where(F.col(score) < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
