@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -177,7 +177,17 @@ class Query:
         return self.projected(self.rows(), self.orders if loads else ())
 
     def exec(self) -> list[Row]:
-        return self.frame().collect()
+        return self.db.observed(self, lambda: self.frame().collect())
+
+    def stream(self) -> Iterator[Row]:
+        """The rows one partition at a time."""
+        return self.frame().toLocalIterator()
+
+    def lock(self, mode: str = "update") -> Query:
+        """Row locks don't exist on snapshots; a commit checks for other writers instead. Accepted, and changes nothing."""
+        if mode not in ("update", "share", "no_key_update", "key_share"):
+            raise InvalidStatement(f"unknown lock mode {mode!r}")
+        return self
 
     def first(self) -> Row | None:
         found = self.limit(1).frame().collect()

@@ -6,6 +6,8 @@ commit writes all changed tables beside the old ones and then swaps directories;
 from __future__ import annotations
 
 import contextlib
+import logging
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -23,11 +25,12 @@ from tessera.sources.connect import loader
 
 ISOLATION = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
 HIT = "__hit"
+log = logging.getLogger("tessera")
 
 
 class Db:
-    def __init__(self, spark: SparkSession, registry: Registry, url: str | None = None, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.registry, self.url = spark, registry, url
+    def __init__(self, spark: SparkSession, registry: Registry, url: str | None = None, tables: dict[str, DataFrame] | None = None, slow_seconds: float | None = None):
+        self.spark, self.registry, self.url, self.slow_seconds = spark, registry, url, slow_seconds
         self._load = loader(spark, url) if url else None
         self._base: dict[str, DataFrame] = dict(tables or {})
         self._layers: list[dict[str, DataFrame]] = [{}]
@@ -76,6 +79,15 @@ class Db:
         for m in self.registry.models.values():
             self._put(m, self.spark.createDataFrame([], m.schema()))
 
+    def observed(self, query: Query, run):
+        """Logs each query's model and seconds; slow ones as warnings."""
+        began = time.perf_counter()
+        out = run()
+        seconds = time.perf_counter() - began
+        slow = self.slow_seconds is not None and seconds >= self.slow_seconds
+        log.log(logging.WARNING if slow else logging.DEBUG, "%s query on %s: %d rows in %.3f s", "slow" if slow else "a", query.model.name, len(out), seconds)
+        return out
+
     # Queries.
 
     def all(self, model: Model | str) -> Query:

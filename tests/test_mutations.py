@@ -5,6 +5,7 @@ from tessera.errors import ConditionFailed, InvalidStatement, ReadOnlyTransactio
 from tessera.model import BelongsTo, Field, HasMany, HasOne, Index, Model, Registry, Via
 from tessera.operators import mutate as m
 from tessera.plans import batch as batches
+from tessera.plans import migrations
 from tessera.plans.schema_diff import diff, migrated, state, statements
 from tessera.sources.connect import loader
 from tessera.sources.db import Db
@@ -290,3 +291,21 @@ def test_raw_sql(db):
     assert db.sql("SELECT n FROM users WHERE n > ?", [3]).collect()[0].n == 4
     assert db.sql("SELECT n FROM users WHERE n > :n", {"n": 3}, {"n": "string"}).dtypes == [("n", "string")]
     assert db.statement("SELECT 1 AS x")[0].x == 1
+
+
+def test_migrations(spark, tmp_path):
+    folder = str(tmp_path / "steps")
+    one = Registry(Model("A", "a", (Field("id", "i64"), Field("x", "i32")), ("id",)))
+    assert migrations.generate(one, folder, "start") == "0001_start" and migrations.generate(one, folder, "again") is None
+    db = Db(spark, one, tables={})
+    assert migrations.apply(db, folder) == ["0001_start"]
+    db.create("A", id=1, x=5)
+    two = Registry(Model("A", "a", (Field("id", "i64"), Field("z", "i64"), Field("w", "bool", nullable=True)), ("id",)), Model("B", "b", (Field("id", "i64"),), ("id",)))
+    assert migrations.generate(two, folder, "wider", columns={("a", "x"): "z"}) == "0002_wider"
+    assert "ALTER TABLE a RENAME COLUMN x TO z" in migrations.plan(folder)[1][2]
+    later = Db(spark, two, tables=db.changes())
+    assert migrations.apply(later, folder) == ["0002_wider"] and migrations.apply(later, folder) == []
+    assert tuple(later.all("A").one()) == (1, 5, None) and later.all("B").count() == 0
+    other = Db(spark, one, tables={migrations.HISTORY: spark.createDataFrame([("0001_else",)], "id string")})
+    with pytest.raises(InvalidStatement):
+        migrations.apply(other, folder)

@@ -272,3 +272,44 @@ def test_embedded_updates(shapes):
         shapes.update(one, {"tags": m.clear(), "work": {"street": "V", "city": None}})
         assert one.one().tags == [] and one.one().work.street == "V"
         shapes.rollback()
+
+
+def test_eager_relations(spark):
+    reg = Registry(
+        Model("A", "a", (Field("id", "i64"), HasMany("bs", "B", "a", eager=True), Via("names", ("bs", "name"), eager=True)), ("id",)),
+        Model("B", "b", (Field("id", "i64"), Field("a_id", "i64"), Field("name", "string"), BelongsTo("a", "A", {"a_id": "id"})), ("id",)),
+    )
+    db = Db(spark, reg, tables={"a": spark.createDataFrame([(1,), (2,)], "id long"), "b": spark.createDataFrame([(1, 1, "x"), (2, 1, "y")], "id long, a_id long, name string")})
+    rows = {r.id: r for r in db.all("A").exec()}
+    assert [b.name for b in rows[1].bs] == ["x", "y"] and rows[1].names == ["x", "y"] and rows[2].bs == [] and rows[2].names == []
+    assert db.all("A").order_by("id").select("id").frame().columns == ["id"]
+
+
+def test_observation_streams_and_locks(db, caplog):
+    import logging
+
+    noisy = Db(db.spark, db.registry, tables=dict(db._base), slow_seconds=0)
+    with caplog.at_level(logging.WARNING, "tessera"):
+        noisy.all("User").exec()
+    assert "slow query on User: 4 rows" in caplog.text
+    assert sorted(r.id for r in db.all("User").lock().stream()) == [1, 2, 3, 4]
+    with pytest.raises(InvalidStatement):
+        db.all("User").lock("odd")
+
+
+def test_composite_keys(spark):
+    reg = Registry(
+        Model("Order", "o", (Field("shop", "string"), Field("no", "i64"), HasMany("lines", "Line", "order")), ("shop", "no")),
+        Model("Line", "l", (Field("id", "i64"), Field("shop", "string"), Field("no", "i64"), Field("q", "i64"), BelongsTo("order", "Order", {"shop": "shop", "no": "no"})), ("id",)),
+    )
+    db = Db(spark, reg, tables={"o": spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "shop string, no long"), "l": spark.createDataFrame([(1, "a", 1, 5), (2, "a", 1, 6), (3, "b", 1, 7)], "id long, shop string, no long, q long")})
+    o, line = reg["Order"].f, reg["Line"].f
+    keys = lambda q: sorted((r.shop, r.no) for r in q.exec())
+    assert keys(db.filter("Order", o["lines"].any(line.q.gt(5)))) == [("a", 1), ("b", 1)]
+    assert keys(db.filter("Order", o["lines"].all(line.q.gt(5)))) == [("a", 2), ("b", 1)]
+    assert [len(r.lines) for r in db.all("Order").order_by("shop", "no").include("lines").exec()] == [2, 0, 1]
+    assert ids(db.filter("Line", line["order"].eq({"shop": "a", "no": 1}))) == [1, 2]
+    assert ids(db.filter("Line", line["order"].in_list([{"shop": "b", "no": 1}, {"shop": "a", "no": 9}]))) == [3]
+    assert keys(db.get_by_keys("Order", [("a", 2), ("z", 1)])) == [("a", 2)]
+    assert keys(db.get_by_keys("Order", [("a", n) for n in range(60)])) == [("a", 1), ("a", 2)]
+    assert keys(db.filter("Line", line.q.eq(7)).related("order")) == [("b", 1)]
