@@ -199,19 +199,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Rows without a doc_id are named by their text's hash, from here on: behind all ids of rows that have one.
+NO_ID = 1 << 62
+
+
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row of its least doc_id stays, and of several such
-    rows one. A row without a doc_id goes if its component has rows with one; else one row of the component's stays."""
+    rows one. A row without a doc_id goes if its component has rows with one; else one row of the component's stays.
+
+    Whole rows are shuffled once, by their own key, and joined by a merge at any size."""
     (name,) = free_names(docs, "dedup_key")
-    named = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit("no id"), text)))
-    found = near_duplicates(named.select(name, text), text, name).select("doc_id", "component_id")
-    # Where ids lack, a hash stands for them; it is least in its component only by chance, so real ids are preferred.
-    real = docs.select(F.col(key).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    least = found.join(real, "doc_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    found = found.join(least, "component_id", "left").select("doc_id", F.coalesce("least", "component_id").alias("component_id"))
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    stay = written(stay.select(F.col("doc_id").alias(name), "rows"), "stay")
-    kept = named.join(stay.where("rows = 1").select(name), name, "left_semi")
+    stand_in = F.pmod(F.xxhash64(F.lit("no id"), text), F.lit(NO_ID)) + F.lit(NO_ID)
+    named = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), stand_in))
+    found = near_duplicates(named.select(name, text), text, name).where("doc_id = component_id")
+    stay = written(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "stay")
+    kept = named.join(stay.where("rows = 1").select(name).hint("merge"), name, "left_semi")
     # Rows that repeat a doc_id are rare; one of them stays.
     several = named.join(stay.where("rows > 1").select(name), name, "left_semi").dropDuplicates([name])
     return kept.select(*docs.columns).unionByName(several.select(*docs.columns))

@@ -149,7 +149,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers
 
-    def score(texts: list[str]) -> np.ndarray:
+    def score(column: pa.Array) -> np.ndarray:
         features, w = Features(), shared.value
         weighted = w != 0
 
@@ -157,21 +157,22 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             ids = features.all(text)
             return float(w[np.unique(ids[weighted[ids]])].sum(dtype=np.float64)) + bias
 
-        z = np.array([total(t or "") for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        z = np.array([total(t.as_py() or "") for t in column], float)
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-z))
 
     if keep:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                values = score(batch.column(batch.schema.get_field_index(text)).to_pylist())
+                values = score(batch.column(batch.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, keep])
 
         return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(keep, DoubleType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, score double")
