@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, read_table, text_or_empty
-from tessera.llm.pretokens import PreTokenizer
+from tessera.llm.pretokens import Numbers, PreTokenizer
 from tessera.llm.tokens import RankMerger
 
 CAPACITY = 1024
@@ -32,8 +32,8 @@ SLACK = 0.03
 #: So short a remainder always stays whole.
 LEAST = 16
 #: Distinct pre-tokens whose ids a worker remembers, and one batch's; beyond, it forgets all. Speed only.
-REMEMBERED = 500_000
-BATCH_BYTES = 4 << 20
+REMEMBERED = 400_000
+BATCH_BYTES = 2 << 20
 
 
 class IdEncoder:
@@ -45,7 +45,7 @@ class IdEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = Numbers()
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
@@ -56,27 +56,22 @@ class IdEncoder:
         for i in [i for i, w in enumerate(words) if w in special]:
             flat = np.insert(flat, n[:i].sum(), special[words[i]])
             n[i] = 1
-        begin = len(self.place)
+        begin, end = len(self.known) - len(words), len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while begin + len(words) > len(self.starts):
+        while end > len(self.starts):
             self.starts, self.lengths = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.lengths))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[begin : begin + len(words)] = self.used + np.cumsum(n) - n
-        self.lengths[begin : begin + len(words)] = n
+        self.starts[begin:end] = self.used + np.cumsum(n) - n
+        self.lengths[begin:end] = n
         self.used += len(flat)
-        self.place.update(zip(words, range(begin, begin + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.splitter.split(t)[0] for t in texts]
-        wanted = set().union(*split) if split else set()
-        if len(self.place) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in wanted if w not in self.place]
-        if new:
-            self._learn(new)
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        places = [self.known.of(self.splitter.split(t)[0]) for t in texts]
+        self._learn(self.known.taken())
+        for at in places:
             n = self.lengths[at]
             ends = np.cumsum(n)
             yield self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]

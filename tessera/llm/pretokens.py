@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 #: The split pattern of the vocabulary, as its description states it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -31,6 +33,27 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Numbers words as they come; new ones are listed in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def taken(self) -> list[str]:
+        """The new words since the last time."""
+        out, self.new = self.new, []
+        return out
+
+
 class PreTokenizer:
     """Splits texts at special strings, as the library does by default, and then by the pattern."""
 

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, read_table, text_or_empty
-from tessera.llm.pretokens import PreTokenizer, byte_symbols
+from tessera.llm.pretokens import Numbers, PreTokenizer, byte_symbols
 
 #: Distinct pre-tokens that a worker remembers at most; it forgets all of them beyond that. Speed only.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: UTF-8 bytes of text that are split and merged together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 class RankMerger:
@@ -134,18 +134,17 @@ class TokenCounter:
     def __init__(self, path: str | None = None):
         self.splitter = PreTokenizer(path)
         self.merger = RankMerger(self.splitter.description)
-        self.known: dict[str, int] = {}
+        self.known, self.counts = Numbers(), np.empty(0, np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [self.splitter.split(t)[0] for t in texts]
-        wanted = set().union(*split) if split else set()
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in wanted if w not in self.known]
-        plain = [w for w in new if w not in self.splitter.special]
-        self.known.update(zip(plain, self.merger.count([w.encode() for w in plain]).tolist(), strict=True))
-        self.known.update((w, 1) for w in new if w in self.splitter.special)
-        return [sum(map(self.known.__getitem__, words)) for words in split]
+            self.known, self.counts = Numbers(), np.empty(0, np.int64)
+        places = [self.known.of(self.splitter.split(t)[0]) for t in texts]
+        new = self.known.taken()
+        counts = self.merger.count([b"" if w in self.splitter.special else w.encode() for w in new])
+        counts[[w in self.splitter.special for w in new]] = 1
+        self.counts = np.concatenate([self.counts, counts])
+        return [int(self.counts[at].sum()) for at in places]
 
 
 @cache
