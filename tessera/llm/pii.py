@@ -4,7 +4,7 @@ Numbers and dates that are valid (card numbers by their check digit, social secu
 IPv4 addresses by their octets, dates by the calendar) are mapped to a pair of digits in mixed radix and permuted by a
 keyed Feistel network over just those pairs, then written back in the same layout: the result is as valid as the value
 was, equal values stay equal everywhere, and different values stay different. E-mail addresses and secrets, which have no
-such domain, become keyed hashes. Texts without a digit or an @ are passed on without a closer look.
+such domain, become keyed hashes. Texts without a sign of any form (``HINT``) are passed on without a closer look.
 
 Defined results: a null text stays null and an empty one empty; null doc_ids and repeated rows pass row by row; an empty
 table gives no row; further columns stay as they are."""
@@ -31,6 +31,8 @@ DAY_DATE = r"(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 ABROAD = r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: No form is without one of these.
+HINT = "[0-9@=:]|AKIA"
 ANY = "|".join((EMAIL, SECRET, IP, SSN, ISO_DATE, DAY_DATE, PHONE, ABROAD, CARD))
 
 #: Dates that are permuted: SPAN * SPAN days from FIRST_DAY on (into 2102).
@@ -199,7 +201,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", replaced:
     (looked,) = free_names(docs, "pii_looked")
     found = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
     # Bound by a column of its own, so that it is computed once.
-    parts = F.when(t.rlike("[0-9@=:]"), F.struct(F.split(t, ANY, -1).alias("between"), found.alias("found")))
+    parts = F.when(t.rlike(HINT), F.struct(F.split(t, ANY, -1).alias("between"), found.alias("found")))
     rows = docs.select(*docs.columns, F.inline(F.array(F.struct(parts.alias(looked)))))
     between, found, seen = F.col(looked)["between"], F.col(looked)["found"], F.col(looked).isNotNull()
     joined = F.array_join(F.zip_with(between, found, lambda a, m: F.concat(a, F.coalesce(m["new"], F.lit("")))), "")

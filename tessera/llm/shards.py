@@ -24,6 +24,8 @@ SHARDS = 8
 SEED = 20_240_501
 #: Text that a bucket holds about: what a task shuffles in memory.
 BUCKET_BYTES = 16 << 20
+#: Buckets of all shards, about, at most: beyond 1.6 TB they grow instead, as a shuffle of millions of parts doesn't run.
+MOST_BUCKETS = 100_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -50,7 +52,7 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     rows = docs.select(F.col(key).alias("doc_id"), t.alias("text"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 1).alias("size"))
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1, seed))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, math.ceil(total / shards / bucket_bytes))
+    parts = max(1, math.ceil(total / shards / max(bucket_bytes, total / MOST_BUCKETS)))
     # Repeated doc_ids scatter too: the text's hash takes part within the shard.
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(parts)).cast("int")
     rows = rows.withColumn("bucket", F.col("shard") * parts + part)
