@@ -7,8 +7,10 @@ deleted. Two limits keep that right: lines in an element declared as the content
 so they alone are the text of a page that has them, shared or not; and a neighbour that shares over ``COPY`` of a page's
 characters is taken for a copy of it and deletes nothing.
 
-Pages meet their neighbours by one range exchange and a sort; each task streams through its range and holds three pages
-at a time, so a host of any size is spread over tasks. A host's only page in a task's range has no neighbour and keeps its lines.
+Pages are parsed once and written. Only keys and the lines' hashes are then put in order: a range exchange, a sort, and
+ranks across ranges (from the ranges' sizes, one number each). Neighbours are joined by rank, a unique key, so a host of
+any size is spread over tasks, and the pairs are the same however the data is partitioned. Whole lines are shuffled for
+pages without declared content alone.
 
 Defined results: null or empty html gives empty text; a null url is a host and path of its own (empty); repeated rows are
 each other's neighbours and copies; an empty table gives no row; further columns are ignored."""
@@ -16,14 +18,14 @@ each other's neighbours and copies; an empty table gives no row; further columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table
+from tessera.llm.common import read_table, written
 
 COPY = 0.5
 
@@ -126,12 +128,12 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def shared(mine: list[str], other: list[str]) -> list[bool]:
+def shared(mine: list, other: list) -> list[bool]:
     """Which of my lines lie on a longest common subsequence with the other page's.
 
     Bit-parallel: bit j of a row is 0 where my first j + 1 lines have a longer common subsequence with what of the other
     page has been read than my first j lines have."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for j, line in enumerate(mine):
         places[line] = places.get(line, 0) | 1 << j
     full = (1 << len(mine)) - 1
@@ -151,13 +153,10 @@ def shared(mine: list[str], other: list[str]) -> list[bool]:
     return out
 
 
-def main_text(page: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    declared = [line for line, inside in page if inside]
-    if declared:
-        return "\n".join(declared)
-    lines = [line for line, _ in page]
-    if neighbour:
-        drop = shared(lines, [line for line, _ in neighbour])
+def differing(lines: list[str], marks: list[int], other: list[int] | None) -> str:
+    """The lines less those shared with the other page, unless it is a copy. ``marks`` stand for lines."""
+    if other:
+        drop = shared(marks, other)
         if sum(len(x) for x, d in zip(lines, drop, strict=True) if d) <= COPY * sum(map(len, lines)):
             lines = [x for x, d in zip(lines, drop, strict=True) if not d]
     return "\n".join(lines)
@@ -175,53 +174,77 @@ def common_prefix(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def _texts(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """rows: (page_id, url, html, host, path) in order. Yields (page_id, url, text); holds three pages."""
-    before = here = None
+PARSED = "row long, page_id {}, url string, host string, path string, declared string, lines array<string>, marks array<long>"
 
-    def done(before, here, after):
-        near = [x for x in (before, after) if x is not None and x[3] == here[3]]
-        nearest = max(near, key=lambda x: common_prefix(x[4], here[4]), default=None)  # of equals the earlier page
-        return here[0], here[1], main_text(here[2], nearest and nearest[2])
 
-    for page_id, url, html, host, path in rows:
-        after = (page_id, url, lines_of(html), host, path)
-        if here is not None:
-            yield done(before, here, after)
-        before, here = here, after
-    if here is not None:
-        yield done(before, here, None)
+def parsed(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """A row for each page: its declared content, or else its lines; the hash of each line; a number for the row."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [lines_of(h.as_py()) for h in part.column(4)]
+                declared = ["\n".join(x for x, inside in lines if inside) or None for lines in found]
+                plain = [None if d else [x for x, _ in lines] for d, lines in zip(declared, found, strict=True)]
+                marks = [[xxh64_intdigest(x) - (1 << 63) for x, _ in lines] for lines in found]
+                arrays = [pa.array(declared, pa.string()), pa.array(plain, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))]
+                names = ["row", "page_id", "url", "host", "path", "declared", "lines", "marks"]
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(part)), pa.int64()), *(part.column(i) for i in range(4)), *arrays], names)
+                row += len(part)
+
+    url = F.col("url").cast("string")
+    rows = pages.select(F.col(key).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, PARSED.format(pages.schema[key].dataType.simpleString()))
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """row, and paths and marks of the pages of its host before and after it (NULL where there is none)."""
+    order = ["host", "path", "page_id", "url", "row"]
+    sorted_ = rows.select(*order, "marks").repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number has the range above 33 bits and the place in it below.
+    placed = written(sorted_.withColumn("at", F.monotonically_increasing_id()).select("row", "host", "path", "marks", "at"), "order")
+    of_range = F.shiftright("at", 33)
+    sizes = placed.groupBy(of_range.alias("range")).count().orderBy("range").collect()  # as many as ranges
+    firsts, total = [], 0
+    for size in sizes:
+        firsts.append((size["range"], total))
+        total += size["count"]
+    firsts = rows.sparkSession.createDataFrame(firsts, "range long, first long")
+    ranked = placed.join(F.broadcast(firsts), of_range == F.col("range")).select("row", "host", "path", "marks", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    ranked = written(ranked, "ranks")
+
+    def beside(step: int, name: str) -> DataFrame:
+        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("marks").alias(f"{name}_marks"))
+
+    out = ranked.join(beside(1, "before"), "rank", "left").join(beside(-1, "after"), "rank", "left")
+    same = lambda name, c: F.when(F.col(f"{name}_host") == F.col("host"), F.col(f"{name}_{c}")).alias(f"{name}_{c}")
+    return out.select("row", *[same(n, c) for n in ("before", "after") for c in ("path", "marks")])
 
 
 def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    kind = pages.schema[key].dataType
+    kind = pages.schema[key].dataType.simpleString()
+    rows = written(parsed(pages, key), "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_type = None
-
-        def rows() -> Iterator[tuple]:
-            nonlocal key_type
-            for batch in batches:
-                key_type = batch.schema.field(0).type
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, key_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        held: list[tuple] = []
-        for row in _texts(rows()):
-            held.append(row)
-            if len(held) == 1000:
-                yield out(held)
-                held = []
-        if held:
-            yield out(held)
-
-    rows = pages.select(F.col(key).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    order = ["host", "path", "page_id", "url"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
+        for batch in batches:
+            texts = []
+            for path, lines, marks, *beside in zip(*(batch.column(i).to_pylist() for i in range(2, 9)), strict=True):
+                near = [(beside[i], beside[i + 1]) for i in (0, 2) if beside[i + 1] is not None]
+                nearest = max(near, key=lambda x: common_prefix(x[0], path), default=(None, None))  # of equals the page before
+                texts.append(differing(lines, marks, nearest[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    plain = rows.where("declared IS NULL").select("row", "page_id", "url", "path", "lines", "marks").join(neighbours(rows), "row")
+    plain = plain.select("page_id", "url", "path", "lines", "marks", "before_path", "before_marks", "after_path", "after_marks")
+    plain = plain.mapInArrow(run, f"page_id {kind}, url string, text string")
+    found = rows.where("declared IS NOT NULL").select("page_id", "url", F.col("declared").alias("text")).unionByName(plain)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,12 @@ def test_lines():
     assert html.lines_of(page) == [("Head&ing", True), ("One two three", True), ("Four five", True), ("a", True), ("b", True)]
 
 
+def alone(page):
+    """A page's text without neighbours."""
+    found = html.lines_of(page)
+    return "\n".join([x for x, inside in found if inside] or [x for x, _ in found])
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -171,7 +177,7 @@ def test_lines():
     ],
 )
 def test_pages(page, text):
-    assert html.main_text(html.lines_of(page), None) == text
+    assert alone(page) == text
 
 
 def longest(a, b):
@@ -191,13 +197,28 @@ def test_alignment():
         assert len(kept) == longest(a, b) and all(x in rest for x in kept)
 
 
-def test_differencing(spark):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_differencing(spark, parts):
+    """The same however pages are dealt to tasks."""
     shell = "<div>Our site</div><div>All rights</div>{}<div>Write to us</div>"
-    rows = [(i, f"http://h.example/a/{i}", shell.format(f"<p>Story {i} is long enough</p><p>More of it {i * 7} to read</p>")) for i in range(6)] + [(7, "http://other.example/a/1", shell.format("<p>alone</p>")), (8, "http://c.example/x", "<p>same words here</p>"), (9, "http://c.example/x?q", "<p>same words here</p>"), (10, None, None)]
-    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()}
-    for i in range(6):
+    rows = [(i, f"http://h.example/a/{i}", shell.format(f"<p>Story {i} is long enough</p><p>More of it {i * 7} to read</p>")) for i in range(40)] + [(70, "http://other.example/a/1", shell.format("<p>alone</p>")), (80, "http://c.example/x", "<p>same words here</p>"), (90, "http://c.example/x?q", "<p>same words here</p>"), (100, None, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in html.extracted(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i in range(40):
         assert got[i] == f"Story {i} is long enough\nMore of it {i * 7} to read"
-    assert got[7] == "Our site\nAll rights\nalone\nWrite to us" and got[8] == got[9] == "same words here" and got[10] == ""
+    assert got[70] == "Our site\nAll rights\nalone\nWrite to us" and got[80] == got[90] == "same words here" and got[100] == ""
+
+
+def test_nearest_of_both_neighbours(spark):
+    page = "<p>{}</p><p>own text of page {}, quite long as texts go</p>"
+    rows = [(1, "http://h/a/1", page.format("left", 1)), (2, "http://h/b/1", page.format("right", 2)), (3, "http://h/b/2", page.format("right", 3)), (4, "http://h/b/2", None), (5, "http://h/b/3", page.format("left", 5))]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2].startswith("own") and got[1].startswith("left") and got[3].startswith("right") and got[4] == "" and got[5].startswith("left")
 
 
 def test_host_and_path(spark):
@@ -208,7 +229,7 @@ def test_host_and_path(spark):
 
 def test_page_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    want = {r.page_id: html.main_text(html.lines_of(r.html), None) for r in pages.collect()}
+    want = {r.page_id: alone(r.html) for r in pages.collect()}
     rows = html.op7_html_extraction(spark, sf_dir).collect()
     assert {r.page_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
     assert html.extracted(pages.limit(0)).collect() == []
