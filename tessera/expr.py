@@ -517,10 +517,10 @@ def in_query(paths: Sequence[Path], query) -> Expr:
 
 def _prefix(path: Path) -> str:
     _, chain = path.resolve()
-    return _names_of(chain)
+    return column_name(chain)
 
 
-def _names_of(chain: Sequence) -> str:
+def column_name(chain: Sequence) -> str:
     """The column of a chain of embedded parts; a variant adds nothing to the name."""
     name = ""
     for i, part in enumerate(chain):
@@ -536,7 +536,7 @@ def _names_of(chain: Sequence) -> str:
 def _column(chain: Sequence) -> Column:
     for i, part in enumerate(chain):
         if isinstance(part, Document):
-            base, rest = F.col(_names_of(chain[: i + 1])), chain[i + 1 :]
+            base, rest = F.col(column_name(chain[: i + 1])), chain[i + 1 :]
             if part.storage == "struct":
                 for p in rest:
                     base = base.getField(p.name)
@@ -552,10 +552,10 @@ def _column(chain: Sequence) -> Column:
             return F.from_json(F.get_json_object(base, scalars.json_path([p.name for p in rest])), struct_type(last.of))
     last = chain[-1]
     if isinstance(last, Field):
-        return F.col(_names_of(chain))
+        return F.col(column_name(chain))
     if isinstance(last, Variant):
-        return F.struct(*[F.col(f"{_names_of(chain)}_{f.col}").alias(f.name) for f in last.fields])
-    return decoded(last, _names_of(chain))
+        return F.struct(*[F.col(f"{column_name(chain)}_{f.col}").alias(f.name) for f in last.fields])
+    return decoded(last, column_name(chain))
 
 
 def decoded(f: Embedded, prefix: str) -> Column:

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import InvalidStatement, UniqueViolation, ValidationFailed
-from tessera.expr import Expr, Path
+from tessera.expr import Expr, Path, column_name
 from tessera.functions import scalars
 from tessera.functions.types import in_range
-from tessera.model import BelongsTo, Document, EmbedEnum, Embedded, EmbedStruct, Field, HasMany, HasOne, Model, Relation, Via, value_of
+from tessera.model import BelongsTo, Document, EmbedEnum, Embedded, EmbedStruct, Field, HasMany, HasOne, Model, Relation, embedded_columns, value_of
 
 # What a field is set to.
 
@@ -234,7 +234,7 @@ def assigned(model: Model, assignments: dict[str, Any], of: Callable[[str], Colu
         if isinstance(f, BelongsTo):
             # The relation is set by its key; None unlinks.
             for mine, other in f.keys.items():
-                key = None if v is None else v[other] if not isinstance(v, dict) else v[other]
+                key = None if v is None else v[other]
                 field = model.field(mine)
                 if key is None and not field.nullable:
                     raise ValidationFailed(f"{model.name}.{mine} is required")
@@ -265,8 +265,6 @@ def assigned(model: Model, assignments: dict[str, Any], of: Callable[[str], Colu
 
 
 def _embedded_columns(f: Embedded):
-    from tessera.model import embedded_columns
-
     return list(embedded_columns(f.col, f.of, True))
 
 
@@ -277,11 +275,9 @@ def _patched(model: Model, f: Any, p: Patch, of: Callable[[str], Column]) -> dic
             doc = scalars.patched(doc, path.split("."), v)
         return {f.col: doc if f.storage == "struct" else F.to_json(doc)}
     out = {}
-    from tessera.expr import _names_of
-
     for path, v in p.values.items():
         _, chain = Path(model, (f.name, *path.split("."))).resolve()
-        column, last = _names_of(chain), chain[-1]
+        column, last = column_name(chain), chain[-1]
         change = v if isinstance(v, Change) else set_(v)
         out[column] = change.make(of(column), last.spark_type)
     return out
@@ -331,7 +327,8 @@ def upsert_frame(
     both = old.join(new, condition, "full_outer")
     has_old, has_new = F.coalesce(F.col("__old"), F.lit(False)), F.coalesce(F.col("__new"), F.lit(False))
     stored, proposed = (lambda c: F.col(f"__o_{c}")), (lambda c: F.col(f"__n_{c}"))
-    shared = {n: Incoming(n) for n in assigned_names if n not in on and isinstance(model.field(n), Field)}
+    # A row that is there keeps its primary key.
+    shared = {n: Incoming(n) for n in assigned_names if n not in on and n not in model.key and isinstance(model.field(n), Field)}
     whole = [f for n in assigned_names if not isinstance(f := model.field(n), Field | Relation)]
     updates = with_updates(model, shared | (on_update or {}))
     changed = {c: proposed(c) for f in whole if f.name not in (on_update or {}) for c, _, _ in (_embedded_columns(f) if isinstance(f, Embedded) else [(f.col, None, None)])}
@@ -359,5 +356,3 @@ def referring(model: Model) -> list[tuple[Model, BelongsTo, bool]]:
             out.append((child, pair, pair.nullable or all(child.field(k).nullable for k in pair.keys)))
     return out
 
-
-__all__ = ["Change", "Incoming", "Patch", "Via", "add", "apply", "clear", "decrement", "extend", "incoming", "increment", "patch", "pop", "push", "remove", "remove_at", "set_", "subtract"]
