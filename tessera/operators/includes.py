@@ -3,7 +3,10 @@
 Children are selected, filtered, given their own includes (bottom up), gathered by the columns that link them to their
 parents, and left-joined. Parents without children get an empty array (to many) or NULL (to one). Arrays are in the
 include's order, by primary key where none is given. A parent's children are one value, so they must fit in a task's
-memory; ``Query.related`` gives the same rows flat, for parents whose children don't."""
+memory; ``Query.pairs`` gives the same rows flat, for parents whose children don't.
+
+Where the parents are not a whole table, children are first cut down to theirs by a left semi join on the link columns,
+so that a page of parents doesn't gather all children there are."""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import InvalidStatement
-from tessera.expr import Expr, Order, Path, or_all
+from tessera.expr import Expr, Order, Path, and_all, or_all
 from tessera.model import BelongsTo, HasMany, HasOne, Model, Relation, Via
 from tessera.operators.navigation import linked
 from tessera.operators.predicates import filtered
@@ -55,8 +58,6 @@ def merged(includes: Sequence[Include]) -> tuple[Expr | None, tuple[Order, ...],
     bare = not filters or any(not f for f in filters)
     predicate = None
     if not bare:
-        from tessera.expr import and_all
-
         predicate = or_all([and_all(f) for f in filters])
     return predicate, own[-1].orders if own else (), deeper
 
@@ -83,8 +84,10 @@ def comparator(names: Sequence[tuple[str, bool]]):
     return compare
 
 
-def attach(db, rows: DataFrame, model: Model, includes: Sequence[Include], prefix: str = "__i") -> tuple[DataFrame, dict[str, Column]]:
-    """``rows`` (stored columns) with the related values joined, and the column of each loaded relation by name."""
+def attach(db, rows: DataFrame, model: Model, includes: Sequence[Include], some: bool = False, prefix: str = "__i") -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` (stored columns) with the related values joined, and the column of each loaded relation by name. ``some``:
+    the rows are not all of their table's."""
+    parents = rows
     by: dict[str, list[Include]] = {}
     for i in includes:
         if not isinstance(model.field(i.names[0]), Relation):
@@ -98,11 +101,12 @@ def attach(db, rows: DataFrame, model: Model, includes: Sequence[Include], prefi
         relation = model.field(name)
         predicate, orders, deeper = merged(own)
         check(model, relation, predicate, orders, deeper)
-        rows, columns[name] = _attach_one(db, rows, model, relation, predicate, orders, deeper, f"{prefix}{n}")
+        rows, columns[name] = _attach_one(db, rows, parents if some else None, model, relation, predicate, orders, deeper, f"{prefix}{n}")
     return rows, columns
 
 
-def _attach_one(db, rows, model, relation, predicate, orders, deeper, tag):
+def _attach_one(db, rows, parents, model, relation, predicate, orders, deeper, tag):
+    """``parents``: rows whose children alone are wanted; None for all."""
     from tessera.query import projection
 
     registry = model.registry
@@ -124,7 +128,12 @@ def _attach_one(db, rows, model, relation, predicate, orders, deeper, tag):
         keys = [f"{tag}_k{i}" for i in range(len(mine))]
         children = filtered(db, db.table(target), predicate)
         on = list(zip(mine, keys, strict=True))
-    children, nested = attach(db, children, target, deeper, f"{tag}_")
+        if parents is not None and not isinstance(relation, BelongsTo):
+            wanted = [f"{tag}_w{i}" for i in range(len(mine))]
+            condition = _equal(list(zip(theirs, wanted, strict=True)))
+            children = children.join(parents.select(*[F.col(c).alias(w) for c, w in zip(mine, wanted, strict=True)]), condition, "left_semi")
+    some = parents is not None or predicate is not None or isinstance(relation, Via)
+    children, nested = attach(db, children, target, deeper, some, f"{tag}_")
     value = F.struct(*[c.alias(n) for n, c in projection(target, deeper, nested)])
     own_keys = [F.col(c).alias(k) for c, k in zip(theirs, keys, strict=True)] if not isinstance(relation, Via) else [F.col(k) for k in keys]
     if isinstance(relation, BelongsTo):
@@ -150,9 +159,13 @@ def _attach_one(db, rows, model, relation, predicate, orders, deeper, tag):
     return _left(rows, groups, on), F.col(loaded)
 
 
+def _equal(pairs: Sequence[tuple[str, str]]) -> Column:
+    out = None
+    for a, b in pairs:
+        c = F.col(a) == F.col(b)
+        out = c if out is None else out & c
+    return out
+
+
 def _left(rows: DataFrame, groups: DataFrame, on) -> DataFrame:
-    condition = None
-    for mine, key in on:
-        c = F.col(mine) == F.col(key)
-        condition = c if condition is None else condition & c
-    return rows.join(groups, condition, "left").drop(*[k for _, k in on])
+    return rows.join(groups, _equal(on), "left").drop(*[k for _, k in on])

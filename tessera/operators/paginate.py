@@ -106,13 +106,13 @@ class Paginate:
 
     def frame(self):
         forward = [o.reversed() for o in self._orders()] if self.backward else self._orders()
-        return self.query.projected(self._limited(), forward)
+        return self.query.projected(self._limited(), forward, some=True)
 
     def exec(self) -> Page:
         orders = self._orders()
         marks = [f"__c{i}" for i in range(len(orders))]
         forward = [o.reversed() for o in orders] if self.backward else orders
-        found = self.query.projected(self._limited(), forward, extra=[o.path.value().alias(m) for o, m in zip(orders, marks, strict=True)]).collect()
+        found = self.query.projected(self._limited(), forward, extra=[o.path.value().alias(m) for o, m in zip(orders, marks, strict=True)], some=True).collect()
         at = lambda row: tuple(row[m] for m in marks)
         rows = [Row(**{k: v for k, v in r.asDict(False).items() if k not in marks}) for r in found]
         full = at(found[-1]) if len(found) == self.size and found else None

@@ -156,15 +156,17 @@ class Query:
             df = df.limit(self.n)
         return df
 
-    def projected(self, rows: DataFrame, orders: Sequence[Order] = (), extra: Sequence[Column] = ()) -> DataFrame:
-        """What the query gives for such rows; in that order where given."""
+    def projected(self, rows: DataFrame, orders: Sequence[Order] = (), extra: Sequence[Column] = (), some: bool | None = None) -> DataFrame:
+        """What the query gives for such rows; in that order where given. ``some``: they aren't all of the table's."""
+        if some is None:
+            some = self.predicate is not None or self.n is not None or self.source is not None
         if self.selected is not None:
             names = [p.names[0] for p in self.selected if isinstance(p, Path) and not isinstance(p, Value) and p.resolve()[0] is not None]
             loads = [Include((n,)) for n in dict.fromkeys(names)]
-            rows, nested = attach(self.db, rows, _without_eager(self.model), loads)
+            rows, nested = attach(self.db, rows, _without_eager(self.model), loads, some)
             columns = [_selected(p, nested) for p in self.selected]
         else:
-            rows, nested = attach(self.db, rows, self.model, self.includes)
+            rows, nested = attach(self.db, rows, self.model, self.includes, some)
             columns = [c.alias(n) for n, c in projection(self.model, self.includes, nested)]
         if orders:
             rows = rows.orderBy(*[o.column() for o in orders])

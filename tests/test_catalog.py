@@ -31,6 +31,7 @@ def plan(df):
         ("rel_pinned_key", ["EqualTo(o_custkey,7)"], ["Join"]),
         ("filter_in_long", ["LeftSemi"], []),
         ("include_nested", ["ObjectHashAggregate", "LeftOuter"], ["CartesianProduct"]),
+        ("page_include", ["LeftSemi", "LeftOuter", "TakeOrderedAndProject"], ["CartesianProduct"]),
         ("select_tuple", ["ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>"], ["Exchange"]),
     ],
 )
