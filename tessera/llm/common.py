@@ -14,6 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose few files can't be split among all cores (one row group each, say) is dealt out anew; any other is
+    read as it is. Only partition numbers are counted, and only where there are few files."""
+    df, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) > 4 * cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, text_or_empty, written
+from tessera.llm.common import read_spread, text_or_empty, written
 
 #: White space that parts words, and the characters counted as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -108,7 +108,7 @@ def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str =
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(read_table(spark, sf_dir, "documents"))
+    found = judged(read_spread(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

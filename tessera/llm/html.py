@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, written
+from tessera.llm.common import read_spread, written
 
 COPY = 0.5
 
@@ -248,4 +248,4 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(read_table(spark, sf_dir, "pages"))
+    return extracted(read_spread(spark, sf_dir, "pages"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import webp
-from tessera.llm.common import read_table, text_or_empty
+from tessera.llm.common import read_spread, text_or_empty
 
 UNIT = 576
 WIDTH = UNIT // 4
@@ -83,4 +83,4 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", with
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(read_table(spark, sf_dir, "documents"))
+    return media_columns(read_spread(spark, sf_dir, "documents"))

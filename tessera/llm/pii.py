@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_names, read_table
+from tessera.llm.common import free_names, read_spread
 
 #: A deployment passes its own key.
 KEY = "tessera demonstration key"
@@ -211,4 +211,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", replaced:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(read_spread(spark, sf_dir, "documents").select("doc_id", "text"))

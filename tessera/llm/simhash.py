@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, free_names, read_table, text_or_empty, written
+from tessera.llm.common import chunks, free_names, read_spread, text_or_empty, written
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = near_duplicates(read_spread(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import free_names, read_table, text_or_empty
+from tessera.llm.common import free_names, read_spread, read_table, text_or_empty
 
 SIZES = (4, 5)
 BITS = 20
@@ -185,6 +185,6 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     found = scored(docs, trained(docs, read_table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
