@@ -1,16 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are put in order of host and URL path; each is paired with the neighbour of its host whose path shares the longer
-prefix. Both pages' text lines (blocks, without scripts, styles and elements that markup names as menus, headers,
-footers, sidebars, notices, adverts, forms or comments) are aligned by a longest common subsequence, and shared lines are
-deleted. Two limits keep that right: lines in an element declared as the content (article or main) are never boilerplate,
-so they alone are the text of a page that has them, shared or not; and a neighbour that shares over ``COPY`` of a page's
-characters is taken for a copy of it and deletes nothing.
+prefix. The lines of a page's content (text blocks in an element declared as the content, article or main; in pages
+without one all blocks outside scripts, styles and elements that markup names as menus, headers, footers, sidebars,
+notices, adverts, forms or comments) are aligned with the neighbour's lines by a longest common subsequence, and shared
+lines are deleted, declared or not. A neighbour that shares over ``COPY`` of a page's characters is taken for a copy of
+it and deletes nothing.
 
-Pages are parsed once and written. Only keys and the lines' hashes are then put in order: a range exchange, a sort, and
-ranks across ranges (from the ranges' sizes, one number each). Neighbours are joined by rank, a unique key, so a host of
-any size is spread over tasks, and the pairs are the same however the data is partitioned. Whole lines are shuffled for
-pages without declared content alone.
+Pages are parsed twice. First, keys and the lines' hashes and lengths are written and put in order: a range exchange, a
+sort, and ranks across ranges (from the ranges' sizes, one number each). Blocks of consecutive ranks, with a margin of
+pages before and after, are compared by themselves, so a host of any size is spread over tasks, and the pairs are the same
+however the data is partitioned. Then the texts meet what they lose.
 
 Defined results: null or empty html gives empty text; a null url is a host and path of its own (empty); repeated rows are
 each other's neighbours and copies; an empty table gives no row; further columns are ignored."""
@@ -18,7 +18,7 @@ each other's neighbours and copies; an empty table gives no row; further columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_spread, written
 
 COPY = 0.5
+#: Pages before and after a page that it is compared with at most, and consecutive pages that are compared together.
+REACH = 64
+RUN = 1024
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,13 +156,17 @@ def shared(mine: list, other: list) -> list[bool]:
     return out
 
 
-def differing(lines: list[str], marks: list[int], other: list[int] | None) -> str:
-    """The lines less those shared with the other page, unless it is a copy. ``marks`` stand for lines."""
-    if other:
-        drop = shared(marks, other)
-        if sum(len(x) for x, d in zip(lines, drop, strict=True) if d) <= COPY * sum(map(len, lines)):
-            lines = [x for x, d in zip(lines, drop, strict=True) if not d]
-    return "\n".join(lines)
+def less_shared(mine: tuple, others: Iterable[tuple]) -> list[int]:
+    """Places, among my content lines, of those shared with the nearest of ``others`` (in order of nearness), unless it is
+    a copy. Pages are (marks, sizes): the lines' hashes, and their lengths where they are content, else 0."""
+    marks = [m for m, n in zip(*mine, strict=True) if n]
+    sizes = [n for n in mine[1] if n]
+    for other in others:
+        drop = shared(marks, other[0])
+        if sum(n for n, d in zip(sizes, drop, strict=True) if d) <= COPY * sum(sizes):
+            return [i for i, d in enumerate(drop) if d]
+        break
+    return []
 
 
 def host_of(url: Column) -> Column:
@@ -174,40 +181,57 @@ def common_prefix(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-PARSED = "row long, page_id {}, url string, host string, path string, declared string, lines array<string>, marks array<long>"
+def keyed(pages: DataFrame, key: str) -> DataFrame:
+    """id (the same for equal rows alone), page_id, url and html."""
+    url, html = (F.col(c).cast("string") for c in ("url", "html"))
+    whole = F.concat_ws("\0", *(F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(key), url, html)))
+    return pages.select(F.md5(whole).alias("id"), F.col(key).alias("page_id"), url.alias("url"), html.alias("html"))
 
 
-def parsed(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """A row for each page: its declared content, or else its lines; the hash of each line; a number for the row."""
+def content(lines: list[tuple[str, bool]]) -> list[bool]:
+    """Which lines are the page's content: those declared as it, or else all."""
+    declared = any(inside for _, inside in lines)
+    return [inside or not declared for _, inside in lines]
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """id, page_id, url, host and path of every row, and its marks and sizes."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = [lines_of(h.as_py()) for h in part.column(4)]
-                declared = ["\n".join(x for x, inside in lines if inside) or None for lines in found]
-                plain = [None if d else [x for x, _ in lines] for d, lines in zip(declared, found, strict=True)]
+                found = [lines_of(h.as_py()) for h in part.column(5)]
                 marks = [[xxh64_intdigest(x) - (1 << 63) for x, _ in lines] for lines in found]
-                arrays = [pa.array(declared, pa.string()), pa.array(plain, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int64()))]
-                names = ["row", "page_id", "url", "host", "path", "declared", "lines", "marks"]
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(part)), pa.int64()), *(part.column(i) for i in range(4)), *arrays], names)
-                row += len(part)
+                sizes = [[len(x) if c else 0 for (x, _), c in zip(lines, content(lines), strict=True)] for lines in found]
+                arrays = [pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), *arrays], ["id", "page_id", "url", "host", "path", "marks", "sizes"])
+
+    rows = rows.select("id", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    return rows.mapInArrow(run, f"id string, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, path string, marks array<long>, sizes array<int>")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """id, page_id, url and the content lines (as one text) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [lines_of(h.as_py()) for h in part.column(3)]
+                texts = ["\n".join(x for (x, _), c in zip(lines, content(lines), strict=True) if c) for lines in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(texts, pa.string())], ["id", "page_id", "url", "text"])
 
-    url = F.col("url").cast("string")
-    rows = pages.select(F.col(key).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, PARSED.format(pages.schema[key].dataType.simpleString()))
+    return rows.mapInArrow(run, f"id string, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """row, and paths and marks of the pages of its host before and after it (NULL where there is none)."""
-    order = ["host", "path", "page_id", "url", "row"]
-    sorted_ = rows.select(*order, "marks").repartitionByRange(*order).sortWithinPartitions(*order)
+def by_rank(rows: DataFrame) -> DataFrame:
+    """id, host, path, marks and sizes of every row, and its rank in the order of hosts and paths."""
+    order = ["host", "path", "page_id", "url", "id"]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # The number has the range above 33 bits and the place in it below.
-    placed = written(sorted_.withColumn("at", F.monotonically_increasing_id()).select("row", "host", "path", "marks", "at"), "order")
+    placed = written(sorted_.withColumn("at", F.monotonically_increasing_id()).select("id", "host", "path", "marks", "sizes", "at"), "order")
     of_range = F.shiftright("at", 33)
     sizes = placed.groupBy(of_range.alias("range")).count().orderBy("range").collect()  # as many as ranges
     firsts, total = [], 0
@@ -215,35 +239,63 @@ def neighbours(rows: DataFrame) -> DataFrame:
         firsts.append((size["range"], total))
         total += size["count"]
     firsts = rows.sparkSession.createDataFrame(firsts, "range long, first long")
-    ranked = placed.join(F.broadcast(firsts), of_range == F.col("range")).select("row", "host", "path", "marks", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
-    ranked = written(ranked, "ranks")
-
-    def beside(step: int, name: str) -> DataFrame:
-        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("marks").alias(f"{name}_marks"))
-
-    out = ranked.join(beside(1, "before"), "rank", "left").join(beside(-1, "after"), "rank", "left")
-    same = lambda name, c: F.when(F.col(f"{name}_host") == F.col("host"), F.col(f"{name}_{c}")).alias(f"{name}_{c}")
-    return out.select("row", *[same(n, c) for n in ("before", "after") for c in ("path", "marks")])
+    ranked = placed.join(F.broadcast(firsts), of_range == F.col("range"))
+    return ranked.select("id", "host", "path", "marks", "sizes", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("rank"))
+
+
+def outwards(i: int, hosts: list[str], paths: list[str]) -> Iterator[int]:
+    """Places of the pages of the host of page i, up to REACH before and after it, those of the longer common prefix first
+    (of equals the page before): in sorted order, prefixes get no longer outwards."""
+    near = lambda j: common_prefix(paths[j], paths[i]) if 0 <= j < len(hosts) and abs(j - i) <= REACH and hosts[j] == hosts[i] else -1
+    a, b = i - 1, i + 1
+    while (left := near(a)) >= 0 or near(b) >= 0:
+        if left >= near(b):
+            yield a
+            a -= 1
+        else:
+            yield b
+            b += 1
+
+
+def _dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by block and rank: the places of the lines that pages of the block lose."""
+
+    def of_block(block: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids, hosts, paths, marks, sizes, ranks = zip(*rows, strict=True)
+        pages, out = list(zip(marks, sizes, strict=True)), []
+        for i, rank in enumerate(ranks):
+            if rank // RUN == block and (drop := less_shared(pages[i], (pages[j] for j in outwards(i, hosts, paths)))):
+                out.append((ids[i], drop))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([d for _, d in out], pa.list_(pa.int32()))], ["id", "dropped"])
+
+    held, rows = None, []
+    for batch in batches:
+        for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != held and rows:
+                yield of_block(held, rows)
+                rows = []
+            held = block
+            rows.append(tuple(row))
+    if rows:
+        yield of_block(held, rows)
+
+
+def dropped(rows: DataFrame) -> DataFrame:
+    """id and places of the lines it loses, of each page that loses any. Pages in order are cut into blocks of RUN; each
+    gets the REACH pages before and after it too, so a block is a task's whole input whatever the hosts' sizes."""
+    ranks = by_rank(rows)
+    block = lambda rank: F.floor(rank / RUN).cast("long")
+    blocks = F.array_distinct(F.array(*(block(F.col("rank") + d) for d in (-REACH, 0, REACH))))
+    dealt = ranks.select(F.explode(blocks).alias("block"), "id", "host", "path", "marks", "sizes", "rank").repartition("block").sortWithinPartitions("block", "rank")
+    return dealt.mapInArrow(_dropped, "id string, dropped array<int>").groupBy("id").agg(F.min("dropped").alias("dropped"))
 
 
 def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    kind = pages.schema[key].dataType.simpleString()
-    rows = written(parsed(pages, key), "pages")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for path, lines, marks, *beside in zip(*(batch.column(i).to_pylist() for i in range(2, 9)), strict=True):
-                near = [(beside[i], beside[i + 1]) for i in (0, 2) if beside[i + 1] is not None]
-                nearest = max(near, key=lambda x: common_prefix(x[0], path), default=(None, None))  # of equals the page before
-                texts.append(differing(lines, marks, nearest[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    plain = rows.where("declared IS NULL").select("row", "page_id", "url", "path", "lines", "marks").join(neighbours(rows), "row")
-    plain = plain.select("page_id", "url", "path", "lines", "marks", "before_path", "before_marks", "after_path", "after_marks")
-    plain = plain.mapInArrow(run, f"page_id {kind}, url string, text string")
-    found = rows.where("declared IS NOT NULL").select("page_id", "url", F.col("declared").alias("text")).unionByName(plain)
+    rows = keyed(pages, key)
+    drop = written(dropped(written(measured(rows), "pages")), "dropped")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    found = contents(rows).join(drop, "id", "left").select("page_id", "url", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

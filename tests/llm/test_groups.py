@@ -221,6 +221,15 @@ def test_nearest_of_both_neighbours(spark):
     assert got[2].startswith("own") and got[1].startswith("left") and got[3].startswith("right") and got[4] == "" and got[5].startswith("left")
 
 
+def test_declared_content_is_differenced(spark):
+    """Notices in an article that the next page of the host has too go; copied articles stay."""
+    page = "<nav>menu</nav><article><p>Support our site today</p><p>Story {0} is long enough to be read</p></article>"
+    rows = [(i, f"http://h/a/{i}", page.format(i)) for i in range(20)] + [(50, "http://c/x/1", page.format(1)), (51, "http://c/x/2", page.format(1)), (60, "http://lone/x", page.format(2))]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is long enough to be read" for i in range(20))
+    assert got[50] == got[51] == "Support our site today\nStory 1 is long enough to be read" and got[60].startswith("Support")
+
+
 def test_host_and_path(spark):
     rows = spark.createDataFrame([("HTTPS://A.b:80/x/y?q#f",), ("//h/p",), ("/only/path",), (None,), ("http://h",)], "url string")
     got = [tuple(r) for r in rows.select(html.host_of(rows.url), html.path_of(rows.url)).collect()]
