@@ -23,17 +23,19 @@ ROUNDS = 8
 #: The forms looked for, most specific first.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
-SECRET = r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=.-]{8,200}[\"']?)"
+SECRET = r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=.-]{8,}+[\"']?)"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/])"
-PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+#: Numbers marked as phone numbers by +1 or by parentheses have any area code and exchange.
+MARKED_PHONE = r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-]?)|(?:1[ .-]?)?\([0-9]{3}\)[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
 ABROAD = r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 #: No form is without one of these.
 HINT = "[0-9@=:]|AKIA"
-ANY = "|".join((EMAIL, SECRET, IP, SSN, ISO_DATE, DAY_DATE, PHONE, ABROAD, CARD))
+ANY = "|".join((EMAIL, SECRET, IP, SSN, ISO_DATE, DAY_DATE, MARKED_PHONE, PHONE, ABROAD, CARD))
 
 #: Dates that are permuted: SPAN * SPAN days from FIRST_DAY on (into 2102).
 FIRST_DAY, SPAN = "1900-01-01", 272
@@ -113,12 +115,20 @@ def card(key: str, m: Column) -> Column:
 
 
 def phone(key: str, m: Column) -> Column:
-    """Area code and exchange stay in 200 to 999."""
+    """Area code and exchange stay in 200 to 999, where the plan has them; all other numbers are permuted among themselves:
+    those with a lower area code first, then those with a lower exchange alone."""
 
     def new(d: Column) -> Column:
-        x = (number(d, 1, 3) - 200) * 8_000_000 + (number(d, 4, 3) - 200) * 10_000 + number(d, 7, 4)
-        return bound(feistel(key, "phone", x, 80_000, 80_000), lambda y: laid_out(m, F.concat(
-            F.substr(digits_of(m), F.lit(1), F.length(digits_of(m)) - 10), padded(F.floor(y / 8_000_000) + 200, 3), padded(F.floor(F.pmod(y, F.lit(8_000_000)) / 10_000) + 200, 3), padded(F.pmod(y, F.lit(10_000)), 4))))
+        area, exchange, line = number(d, 1, 3), number(d, 4, 3), number(d, 7, 4)
+        written_as = lambda a, e, n: laid_out(m, F.concat(F.substr(digits_of(m), F.lit(1), F.length(digits_of(m)) - 10), padded(a, 3), padded(e, 3), padded(n, 4)))
+        planned = bound(feistel(key, "phone", (area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, 80_000, 80_000), lambda y: written_as(
+            F.floor(y / 8_000_000) + 200, F.floor(F.pmod(y, F.lit(8_000_000)) / 10_000) + 200, F.pmod(y, F.lit(10_000))))
+        low = F.lit(2_000_000_000).cast("long")
+        place = F.when(area < 200, d.cast("long")).otherwise(low + (area - 200) * 2_000_000 + exchange * 10_000 + line)
+        other = bound(feistel(key, "unplanned phone", place, 60_000, 60_000), lambda y: F.when(y < low, written_as(
+            F.floor(y / 10_000_000), F.pmod(F.floor(y / 10_000), F.lit(1000)), F.pmod(y, F.lit(10_000)))).otherwise(written_as(
+            F.floor((y - low) / 2_000_000) + 200, F.pmod(F.floor((y - low) / 10_000), F.lit(200)), F.pmod(y, F.lit(10_000)))))
+        return F.when((area >= 200) & (exchange >= 200), planned).otherwise(other)
 
     return bound(F.substring(digits_of(m), -10, 10), new)
 
@@ -189,7 +199,7 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(whole(SSN), ssn(key, m))
         .when(whole(ISO_DATE), day(key, m, "yyyy-MM-dd"))
         .when(whole(DAY_DATE), day_date(key, m))
-        .when(whole(PHONE), phone(key, m))
+        .when(whole(f"{MARKED_PHONE}|{PHONE}"), phone(key, m))
         .when(whole(ABROAD), abroad(key, m))
         .otherwise(card(key, m))
     )

@@ -199,6 +199,29 @@ def test_forms(spark):
     assert out[10] == (None, 0) and [o[1] for o in out[11:]] == [0, 0, 0, 0] and out[12][0] == "plain text"
 
 
+def test_phone_numbers_outside_the_plan(spark):
+    numbers = [(a, b, 37 * a % 10000) for a in (0, 17, 199, 200, 212, 999) for b in (0, 55, 199, 200, 713)]
+    got = [(t, n) for t, n in run(spark, [f"call +1 ({a:03d}) {b:03d}-{c:04d} now" for a, b, c in numbers])]
+    out = [re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) now", t) for t, _ in got]
+    assert all(out) and all(n == 1 for _, n in got) and len({t for t, _ in got}) == len(numbers)
+    assert all((int(m[1]) >= 200 and int(m[2]) >= 200) == (a >= 200 and b >= 200) for m, (a, b, _) in zip(out, numbers, strict=True))
+
+    def other(a, b, c):
+        y = feistel(pii.KEY, "unplanned phone", a * 10_000_000 + b * 10_000 + c if a < 200 else 2_000_000_000 + (a - 200) * 2_000_000 + b * 10_000 + c, 60_000, 60_000)
+        z = y - 2_000_000_000
+        return f"call +1 ({y // 10_000_000:03d}) {y // 10_000 % 1000:03d}-{y % 10_000:04d} now" if z < 0 else f"call +1 ({z // 2_000_000 + 200}) {z // 10_000 % 200:03d}-{z % 10_000:04d} now"
+
+    assert [t for (t, _), (a, b, _) in zip(got, numbers, strict=True) if a < 200 or b < 200] == [other(*x) for x in numbers if x[0] < 200 or x[1] < 200]
+    same = [re.sub(r"\D", "", t)[-10:] for t, _ in run(spark, ["+1 (017) 555-7713", "(017) 555-7713", "(017)555-7713", "+10175557713", "+1 017 555 7713", "+1.017.555.7713"])]
+    assert len(set(same)) == 1 and same[0] != "0175557713"
+    assert run(spark, ["017-555-7713", "017 555 7713"]) == [("017-555-7713", 0), ("017 555 7713", 0)]
+
+
+def test_secrets_of_any_length(spark):
+    for text, n in run(spark, [f"token = {'aB3_' * k}.tail9 end" for k in (2, 49, 50, 51, 3000, 50_000)]):
+        assert re.fullmatch(r"token = \[SECRET-[0-9a-f]{16}\] end", text) and n == 1
+
+
 def test_long_texts_and_clashing_columns(spark):
     long = "x" * 300_000 + " 82.185.186.189 " + "7" * 100_000 + "@" * 1000 + " a.b" * 20_000
     df = spark.createDataFrame([(1, long, "p", None)], "doc_id long, text string, pii_looked string, pii_looked_ string")
