@@ -4,8 +4,10 @@ Pages are put in order of host and URL path; each is paired with the neighbour o
 prefix. The lines of a page's content (text blocks in an element declared as the content, article or main; in pages
 without one all blocks outside scripts, styles and elements that markup names as menus, headers, footers, sidebars,
 notices, adverts, forms or comments) are aligned with the neighbour's lines by a longest common subsequence, and shared
-lines are deleted, declared or not. A neighbour that shares over ``COPY`` of a page's characters is taken for a copy of
-it and deletes nothing.
+lines are deleted, declared or not. A page with the same lines, one that holds all of a page's, and one that shares
+``COPY`` of both pages' characters or more are taken for copies, and the next nearest page of the host decides (up to
+``REACH`` pages before and after). Where ``TEMPLATE`` pages met first share that much without being the same, it is the
+host's template, and the nearest of them decides. A page with copies alone around it keeps its lines.
 
 Pages are parsed twice. First, keys and the lines' hashes and lengths are written and put in order: a range exchange, a
 sort, and ranks across ranges (from the ranges' sizes, one number each). Blocks of consecutive ranks, with a margin of
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read_spread, written
 
-COPY = 0.5
+#: Share of both pages' characters from which on they are copies, and how many such pages in a row show a template.
+COPY = 0.9
+TEMPLATE = 3
 #: Pages before and after a page that it is compared with at most, and consecutive pages that are compared together.
 REACH = 64
 RUN = 1024
@@ -157,15 +161,23 @@ def shared(mine: list, other: list) -> list[bool]:
 
 
 def less_shared(mine: tuple, others: Iterable[tuple]) -> list[int]:
-    """Places, among my content lines, of those shared with the nearest of ``others`` (in order of nearness), unless it is
-    a copy. Pages are (marks, sizes): the lines' hashes, and their lengths where they are content, else 0."""
+    """Places, among my content lines, of those shared with the nearest of ``others`` (in order of nearness) that isn't a
+    copy. Pages are (marks, sizes): the lines' hashes, and their lengths where they are content, else 0."""
     marks = [m for m, n in zip(*mine, strict=True) if n]
     sizes = [n for n in mine[1] if n]
-    for other in others:
+    alike: list[list[int]] = []
+    for other in others if marks else ():
+        if other[0] == mine[0]:
+            continue
         drop = shared(marks, other[0])
-        if sum(n for n, d in zip(sizes, drop, strict=True) if d) <= COPY * sum(sizes):
-            return [i for i, d in enumerate(drop) if d]
-        break
+        places, size = [i for i, d in enumerate(drop) if d], sum(n for n, d in zip(sizes, drop, strict=True) if d)
+        if len(places) == len(marks):
+            continue
+        if size < COPY * sum(sizes) or size < COPY * sum(other[1]):
+            return places
+        alike.append(places)
+        if len(alike) == TEMPLATE:
+            return alike[0]
     return []
 
 

@@ -230,6 +230,19 @@ def test_declared_content_is_differenced(spark):
     assert got[50] == got[51] == "Support our site today\nStory 1 is long enough to be read" and got[60].startswith("Support")
 
 
+def test_short_articles_in_long_templates(spark):
+    """However much of a page its template is; copies are passed over for the next nearest page."""
+    shell = "".join(f"<div>Link number {i} of the site's menu</div>" for i in range(30)) + "<p>{}</p><div>All rights reserved by us</div>"
+    half = "<div>Our site has this and that</div><p>{}</p><div>All rights reserved</div>"
+    rows = [(i, f"http://long/a/{i}", shell.format(f"Short story {i}")) for i in range(10)] + [(20 + i, f"http://half/a/{i}", half.format(f"Tale {i}")) for i in range(10)]
+    rows += [(40 + i, f"http://copied/a/{i}", half.format("The same story for all of these pages")) for i in range(6)] + [(50, "http://copied/b/1", half.format("Another story that is told here, and no other one"))]
+    rows += [(60, "http://two/a/1", shell.format("one")), (61, "http://two/a/2", shell.format("two"))]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Short story {i}" and got[20 + i] == f"Tale {i}" for i in range(10))
+    assert {got[40 + i] for i in range(6)} == {"The same story for all of these pages"} and got[50].startswith("Another")
+    assert len(got[60].split("\n")) == 32
+
+
 def test_host_and_path(spark):
     rows = spark.createDataFrame([("HTTPS://A.b:80/x/y?q#f",), ("//h/p",), ("/only/path",), (None,), ("http://h",)], "url string")
     got = [tuple(r) for r in rows.select(html.host_of(rows.url), html.path_of(rows.url)).collect()]
