@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import free_names, read_table, shared_dir
+from tessera.llm.minhash import near_copies
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.pii import pseudonymised
@@ -22,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    """Near copies share 0.8 or more of their five-word shingles."""
+    return one_of_each(docs, grouped=near_copies)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,103 @@
+"""Near copies for the pipeline: pairs of texts whose sets of five-word shingles are 0.8 alike or more (Jaccard).
+
+At that similarity SimHash fingerprints of 64 bits differ in up to about 17, where no search by bits is selective, so
+candidates are texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes (a pair at 0.8 agrees in one with
+probability 0.9997), and each candidate pair is verified by its exact similarity. Of a band's place with over ``FEW``
+texts, each text is compared with the two first ones and the one before it there, so comparisons grow in proportion.
+
+Defined results: words are parted by ASCII white space, A-Z is lower-cased; a text of under five words is one shingle;
+null and empty texts are alike; equal texts are linked without a comparison; otherwise as ``simhash``."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import text_or_empty, written
+from tessera.llm.simhash import named_components
+
+SHINGLE = 5
+ALIKE = 0.8
+BANDS, ROWS = 20, 5
+#: Texts of a place that are all compared with each other.
+FEW = 16
+#: Shingles that are hashed at a time.
+BLOCK = 4096
+
+_RANDOM = np.random.Generator(np.random.PCG64(5))
+FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+SUMMANDS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+
+
+def shingles(text: str) -> set[bytes]:
+    words = text.encode().lower().split()
+    if len(words) < SHINGLE:
+        return {b" ".join(words)}
+    return set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)))
+
+
+def places(text: str) -> list[int]:
+    """A hash of each band of the text's minimum hashes."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.fromiter(map(xxh64_intdigest, shingles(text)), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), BLOCK):
+        least = np.minimum(least, (hashes[None, a : a + BLOCK] * FACTORS + SUMMANDS).min(axis=1))
+    return [xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [places(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fp", "places"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows sorted by place and fp: pairs to be compared."""
+    held, members, number, last = None, [], 0, None
+    for batch in batches:
+        pairs: list[tuple[int, int]] = []
+        for place, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != held:
+                held, members, number, last = place, [], 0, None
+            if number < FEW:
+                pairs += [(m, fp) for m in members]
+                members.append(fp)
+            else:
+                pairs += [(m, fp) for m in (*members[:2], last)]
+            number, last = number + 1, fp
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep, text, mine = [], None, set()
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            if (x := x.as_py()) != text:
+                text, mine = x, shingles(x)
+            other = shingles(y.as_py())
+            both = len(mine & other)
+            keep.append(both >= ALIKE * (len(mine) + len(other) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (its text's hash) and component_id."""
+    whole = text_or_empty(text)
+    fps = written(docs.select(F.col(key).alias("doc_id"), F.xxhash64(whole).alias("fp")), "hashes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    texts = docs.select(F.xxhash64(whole).alias("fp"), whole.alias("text"))
+    banded = texts.mapInArrow(_banded, "fp long, places array<long>")
+    met = banded.select("fp", F.explode("places").alias("place")).distinct().select("place", "fp").repartition("place").sortWithinPartitions("place", "fp")
+    pairs = written(met.mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = written(texts.join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "asked")
+    of = lambda name: asked.select(F.col("fp").alias(name), F.col("text").alias(f"{name}_text"))
+    compared = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_text", "b_text")
+    return named_components(fps, nodes, compared.mapInArrow(_verified, "a long, b long"))

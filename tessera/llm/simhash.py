@@ -16,7 +16,7 @@ gives no row; further columns are ignored."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,15 +183,20 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return met.where("not crowded").select("a", "b").union(dense)
 
 
+def named_components(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every row of ``fps`` (doc_id, fp). ``nodes``: each fp and its least doc_id; ``edges``:
+    links (a, b) between them."""
+    linked = nodes.join(components(edges).withColumnRenamed("v", "fp"), "fp")
+    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "named")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp and component_id."""
     fps = written(fingerprints(docs, text, key, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, crowd))
-    linked = nodes.join(roots.withColumnRenamed("v", "fp"), "fp")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    named = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named_components(fps, nodes, links(nodes, crowd))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,15 +208,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 NO_ID = 1 << 62
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` less near duplicates: of each component the row of its least doc_id stays, and of several such
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` less near duplicates, as ``grouped`` finds them: of each component the row of its least doc_id stays, and of several such
     rows one. A row without a doc_id goes if its component has rows with one; else one row of the component's stays.
 
     Whole rows are shuffled once, by their own key, and joined by a merge at any size."""
     (name,) = free_names(docs, "dedup_key")
     stand_in = F.pmod(F.xxhash64(F.lit("no id"), text), F.lit(NO_ID)) + F.lit(NO_ID)
     named = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), stand_in))
-    found = near_duplicates(named.select(name, text), text, name).where("doc_id = component_id")
+    found = grouped(named.select(name, text), text, name).where("doc_id = component_id")
     stay = written(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "stay")
     kept = named.join(stay.where("rows = 1").select(name).hint("merge"), name, "left_semi")
     # Rows that repeat a doc_id are rare; one of them stays.

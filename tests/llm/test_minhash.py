@@ -1,0 +1,40 @@
+"""The pipeline's near-duplicate stage against all pairs."""
+
+import random
+
+import corpus_pipeline
+from tessera.llm import minhash
+
+
+def alike(a, b):
+    words = [x.lower().split() for x in (a, b)]
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in words)
+    return len(x & y) / len(x | y) >= 0.8
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(2)
+    texts = []
+    for n in (30, 60, 200, 400):
+        for changed in (0, 1, 2, 4, 8, 16, 40):
+            base = [f"w{rng.randrange(10_000)}" for _ in range(n)]
+            other = list(base)
+            for i in rng.sample(range(n), min(changed, n)):
+                other[i] = "other"
+            texts += [" ".join(base), " ".join(other)]
+    texts += ["", " ", "a b", "A  B", "a b c", *(f"{texts[30]} {i}" for i in range(40))]
+    least = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if least[i] != least[j] and alike(a, texts[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_copies(df).collect()} == dict(enumerate(least))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(least))
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").collect() == []
+
+
+def test_null_rows(spark):
+    df = spark.createDataFrame([(5, None), (3, ""), (None, " "), (None, "lone words here now"), (8, "x y z"), (8, "x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1) for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [-1, 3, 8]
