@@ -16,14 +16,14 @@ gives no row; further columns are ignored."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, free_names, read_spread, text_or_empty, written
+from tessera.llm.common import chunks, read_spread, text_or_empty, written
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -40,19 +40,44 @@ NEAR_BALL = np.append(np.uint64(0), BIT)
 FAR_RING = np.array([BIT[i] | BIT[j] for i in range(64) for j in range(i)], np.uint64)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles; words are parted by ASCII white space, A-Z is lower-cased."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """A hash of every shingle of the text's words, repeats included; words are parted by ASCII white space, A-Z is
+    lower-cased. A text of fewer words is one shingle, one of none has none."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) < shingle:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     join = b" ".join
-    hashes = [xxh64_intdigest(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(BIT[2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)].sum(dtype=np.uint64))
+    return np.array([xxh64_intdigest(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)], np.uint64)
+
+
+#: The bits of every byte, lowest first.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For rows of 64-bit numbers: which of their bits, lowest first, are set in over half the rows. Bytes are counted by
+    value, then values' bits."""
+    columns = hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), -1)
+    n, width = columns.shape
+    counts = np.zeros(width * 256, np.int64)
+    offsets = np.arange(width) * 256
+    for a, b in chunks([1] * n, 1 << 16) if n > 1 << 16 else [(0, n)]:
+        counts += np.bincount((columns[a:b] + offsets).ravel(), minlength=width * 256)
+    return (2 * (counts.reshape(width, 256) @ BYTE_BITS) > n).ravel()
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
+    if len(hashes) == 1:
+        return int(hashes[0])
+    return int(BIT[majority(hashes)].sum(dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -202,23 +227,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_spread(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Rows without a doc_id are named by their text's hash, from here on: behind all ids of rows that have one.
-NO_ID = 1 << 62
-
-
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", grouped: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` less near duplicates, as ``grouped`` finds them: of each component the row of its least doc_id stays, and of several such
-    rows one. A row without a doc_id goes if its component has rows with one; else one row of the component's stays.
-
-    Whole rows are shuffled once, by their own key, and joined by a merge at any size."""
-    (name,) = free_names(docs, "dedup_key")
-    stand_in = F.pmod(F.xxhash64(F.lit("no id"), text), F.lit(NO_ID)) + F.lit(NO_ID)
-    named = docs.withColumn(name, F.coalesce(F.col(key).cast("long"), stand_in))
-    found = grouped(named.select(name, text), text, name).where("doc_id = component_id")
-    stay = written(found.groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows")), "stay")
-    kept = named.join(stay.where("rows = 1").select(name).hint("merge"), name, "left_semi")
-    # Rows that repeat a doc_id are rare; one of them stays.
-    several = named.join(stay.where("rows > 1").select(name), name, "left_semi").dropDuplicates([name])
-    return kept.select(*docs.columns).unionByName(several.select(*docs.columns))

@@ -104,11 +104,7 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(5, None, 1), (3, "", 1), (None, " ", 1), (None, "lone words here now", 1), (8, long, 1), (9, long, 1), (9, long, 1)], "doc_id long, text string, fp int")
     got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == Counter([(5, 3), (3, 3), (None, 3), (None, None), (8, 8), (9, 8), (9, 8)])
-    kept = simhash.one_of_each(df).collect()
-    assert sorted((r.doc_id or -1) for r in kept) == [-1, 3, 8] and kept[0].fp == 1
-    twice = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "other words are here")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.one_of_each(twice).collect()) == [1, 2]
-    assert simhash.near_duplicates(df.limit(0)).collect() == [] and simhash.one_of_each(df.limit(0)).collect() == []
+    assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
 # Sharding.

@@ -4,8 +4,8 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import packing, pii, toxicity
-from tests.llm.test_groups import brute_components, fingerprint
 from tests.llm.test_native import poisson
+from tests.llm.test_similar import brute
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +35,7 @@ def test_toxicity(stages, spark, sf_dir):
 def test_near_dedup(stages):
     before, after, _ = stages[1]
     before = sorted(before, key=lambda r: r.doc_id)
-    label = brute_components([fingerprint(r.text or "") for r in before])
-    assert sorted(r.doc_id for r in after) == sorted(before[i].doc_id for i in set(label.tolist()))
+    assert sorted(r.doc_id for r in after) == sorted(before[i].doc_id for i in set(brute([r.text or "" for r in before])))
 
 
 def test_pii(stages):
