@@ -8,12 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import free_names, read_table, shared_dir
-from tessera.llm.minhash import near_copies
+from tessera.llm.common import free_names, read_table, release, shared_dir
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.pii import pseudonymised
-from tessera.llm.simhash import one_of_each
+from tessera.llm.similar import one_of_each
 from tessera.llm.toxicity import accepted
 
 
@@ -23,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies share 0.8 or more of their five-word shingles."""
-    return one_of_each(docs, grouped=near_copies)
+    """Near copies share 0.8 or more of their five-word shingles; SimHash balls find them."""
+    return one_of_each(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        # What the stage wrote on its way isn't needed any more.
+        release(spark)
         docs = spark.read.parquet(path)
     return docs
