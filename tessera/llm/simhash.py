@@ -116,17 +116,17 @@ def _ball_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(places.view(np.int64)), pa.array(ring), pa.array(np.repeat(fps[a:b], len(NEAR_BALL) + len(FAR_RING)).view(np.int64))], ["place", "ring", "fp"])
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between distinct fingerprints (uint64); at most one fewer than they are."""
     if len(fps) == 2:
-        return [(int(fps[0]), int(fps[1]))] if (int(fps[0]) ^ int(fps[1])).bit_count() <= RADIUS else []
+        return [(int(fps[0]), int(fps[1]))] if (int(fps[0]) ^ int(fps[1])).bit_count() <= radius else []
     out: list[tuple[int, int]] = []
     rest = fps
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):  # breadth first; a block of the front at a time
             block, front = front[:SQUARE], front[SQUARE:]
-            near = np.bitwise_count(block[:, None] ^ rest[None, :]) <= RADIUS
+            near = np.bitwise_count(block[:, None] ^ rest[None, :]) <= radius
             hit = near.any(axis=0)
             reached = rest[hit]
             out += zip(block[near[:, hit].argmax(axis=0)].tolist(), reached.tolist(), strict=True)
@@ -134,18 +134,18 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(pairs: list[tuple[int, int]], crowded: list[np.ndarray]) -> pa.RecordBatch:
+def _edges(pairs: list[tuple[int, int]], crowded: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
     found = np.unique(np.array(pairs, np.uint64).reshape(-1, 2), axis=0)
-    alone = np.concatenate([np.empty(0, np.uint64), *crowded])
-    a, b = np.concatenate([found[:, 0], alone]), np.concatenate([found[:, 1], alone])
+    a = np.concatenate([found[:, 0], *(np.full(len(fps), hub, np.uint64) for hub, fps in crowded)])
+    b = np.concatenate([found[:, 1], *(fps for _, fps in crowded)])
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.arange(len(a)) >= len(found))], ["a", "b", "crowded"])
 
 
-def _verified(crowd: int):
-    """For rows sorted by place: edges among those that meet; of crowded places the fingerprints themselves."""
+def verified(crowd: int, radius: int = RADIUS):
+    """For rows sorted by place: edges among those that meet; of crowded places each fingerprint (b) with the first there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_place, held, over = None, [], False
+        place, held, hub = None, [], None  # of the group that may go on; hub: the first of a crowded one
         for batch in batches:
             places, fps = _columns(batch)
             fps = fps.view(np.uint64)
@@ -157,22 +157,23 @@ def _verified(crowd: int):
             for i in ([0] if len(starts) else []) + inner.tolist() + ([len(starts) - 1] if len(starts) > 1 else []):
                 group = fps[starts[i] : ends[i]]
                 if i == 0 or i == len(starts) - 1:
-                    if held_place != places[starts[i]]:
-                        if sum(map(len, held)) > 1 and not over:
-                            pairs += forest(np.concatenate(held))
-                        held_place, held, over = places[starts[i]], [], False
+                    if place != places[starts[i]]:
+                        if sum(map(len, held)) > 1 and hub is None:
+                            pairs += forest(np.concatenate(held), radius)
+                        place, held, hub = places[starts[i]], [], None
                     held.append(group)
-                    if over or sum(map(len, held)) > crowd:
-                        crowded += held
-                        held, over = [], True
+                    if hub is not None or sum(map(len, held)) > crowd:
+                        hub = held[0][0] if hub is None else hub
+                        crowded += [(hub, x) for x in held]
+                        held = []
                 elif len(group) > crowd:
-                    crowded.append(group)
+                    crowded.append((group[0], group))
                 else:
-                    pairs += forest(group)
+                    pairs += forest(group, radius)
             if pairs or crowded:
                 yield _edges(pairs, crowded)
-        if held and sum(map(len, held)) > 1 and not over:
-            yield _edges(forest(np.concatenate(held)), [])
+        if sum(map(len, held)) > 1 and hub is None:
+            yield _edges(forest(np.concatenate(held), radius), [])
 
     return run
 
@@ -201,9 +202,9 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``distinct``: fp, each once. Edges (a, b) between fingerprints at RADIUS bits or fewer: as many as connect all
     fingerprints that such links connect."""
     met = distinct.select("fp").mapInArrow(_half_variants, "place long, fp long").repartition("place").sortWithinPartitions("place")
-    met = written(met.mapInArrow(_verified(crowd), "a long, b long, crowded boolean"), "met")
+    met = written(met.mapInArrow(verified(crowd), "a long, b long, crowded boolean"), "met")
     # These are few: distinct fingerprints of places with over CROWD of them.
-    balls = met.where("crowded").select(F.col("a").alias("fp")).distinct().mapInArrow(_ball_variants, "place long, ring byte, fp long")
+    balls = met.where("crowded").select(F.col("b").alias("fp")).distinct().mapInArrow(_ball_variants, "place long, ring byte, fp long")
     dense = balls.repartition("place").sortWithinPartitions("place", "ring", "fp").mapInArrow(_hubs, "a long, b long")
     return met.where("not crowded").select("a", "b").union(dense)
 

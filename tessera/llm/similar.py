@@ -8,9 +8,11 @@ variants are shuffled, and those that collide are verified: first by their 64 bi
 similarity of their texts. Fingerprints are over words' triples, of which an edit spoils fewer than of fives: at equal
 recall that takes half of the variants. The number of variants a text emits doesn't depend on the size of the corpus.
 
-In a place of over ``FEW`` fingerprints each is first compared with the FEW - 1 next ones in order. Of such places those whose members aren't all connected by then are looked at again: whoever isn't in the place's largest
-component is compared with everyone there of another component. So no link between texts that meet is lost, and a
-group of copies of any size, once connected, causes no further comparison.
+What passes the filter in a place is kept as the edges of a spanning forest (of a place of over ``CROWD`` fingerprints as
+a star, without a look). Their components are families, and alike texts that meet are of one family. A family's texts are
+dealt into blocks, and every two blocks meet in one task: pairs that pass the filter are compared there, the nearest
+first and none that is connected already, and again a forest is kept. So no pairs of fingerprints or texts are written,
+a text is copied once for each block of its family, and no task holds more than two blocks, however large a family is.
 
 Defined results: words are parted by ASCII white space, A-Z is lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts are alike; texts of one 64-bit fingerprint are taken for alike without a comparison; a row
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, free_names, text_or_empty, written
 from tessera.llm.components import components
-from tessera.llm.simhash import SEED, majority, shingle_hashes
+from tessera.llm.simhash import majority, shingle_hashes, verified
 
 SHINGLE = 5
 ALIKE = 0.8
@@ -36,9 +38,12 @@ ALIKE = 0.8
 PRINTED = 3
 PARTS, WIDTH = 8, 28
 #: Most differing bits, of 64, of fingerprints whose texts are compared. At a similarity of 0.8 they are about 7.
-FILTER = 20
-#: Fingerprints of a place that are all compared with each other at once.
-FEW = 8
+FILTER = 13
+#: Most fingerprints of one place that are compared there.
+CROWD = 1 << 16
+#: Bytes of text of a block, about, at most; a family of n texts has sqrt(n) / BLOCKS blocks at least.
+BLOCK_BYTES = 4 << 20
+BLOCKS = 8
 #: Rows compared at a time.
 SQUARE = 512
 
@@ -61,26 +66,6 @@ def long_fingerprint(text: str) -> tuple[int, list[int]]:
     return fp, (bits[64 : 64 + PARTS * WIDTH].reshape(PARTS, WIDTH) @ BALL[1:]).tolist()
 
 
-def shingles(text: str) -> set[bytes]:
-    words = text.encode().lower().split()
-    if len(words) < SHINGLE:
-        return {b" ".join(words)}
-    return set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)))
-
-
-def alike(mine: set[bytes], other: set[bytes]) -> bool:
-    both = len(mine & other)
-    return both >= ALIKE * (len(mine) + len(other) - both)
-
-
-def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-
-
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= FILTER
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks([1] * batch.num_rows, 512):
@@ -90,95 +75,77 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(places.ravel()), pa.array(np.repeat(fps, PARTS * len(BALL)))], ["place", "fp"])
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows sorted by place and fp: pairs (a, b) to be compared; of places with over FEW rows also their rows (the place
-    and a, b is null)."""
-    places = fps = np.empty(0, np.int64)
-    for batch in batches:
-        n = len(places)
-        places, fps = (np.concatenate([old, new]) for old, new in zip((places, fps), _numbers(batch), strict=True))
-        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for d in range(1, FEW):
-            i = np.arange(max(n, d), len(places))
-            i = i[(places[i] == places[i - d]) & _near(fps[i], fps[i - d])]
-            pairs.append((fps[i - d], fps[i]))
-        # Rows with FEW others of their place before them; the first such row brings those others along.
-        late = np.arange(max(n, FEW), len(places))
-        late = late[places[late] == places[late - FEW]]
-        first = late[(late == FEW) | (places[late] != places[late - FEW - 1])]
-        crowded = np.concatenate([late, (first[:, None] - np.arange(1, FEW + 1)).ravel()])
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        is_pair = np.arange(len(a) + len(crowded)) < len(a)
-        none = np.zeros(len(crowded), np.int64)
-        columns = (
-            pa.array(np.concatenate([a, fps[crowded]])),
-            pa.array(np.concatenate([b, none]), mask=~is_pair),
-            pa.array(np.concatenate([np.zeros(len(a), np.int64), places[crowded]]), mask=is_pair),
-        )
-        places, fps = places[-FEW - 1 :], fps[-FEW - 1 :]
-        if len(is_pair):
-            yield pa.RecordBatch.from_arrays(list(columns), ["a", "b", "place"])
-
-
-def _outsiders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (place, inside, root, fp) sorted by place, those outside the place's largest component first: pairs of an
-    outsider and anyone of another component."""
-    held, roots, fps = None, np.empty(0, np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        places, inside, root, fp = _numbers(batch)
-        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.empty(0, int)
-        for begin, end in zip(starts, np.append(starts[1:], len(places)), strict=False):
-            if places[begin] != held:
-                held, roots, fps = places[begin], root[:0], fp[:0]
-            for at in range(begin, end, SQUARE):
-                to = min(at + SQUARE, end)
-                out = ~inside[at:to].astype(bool)
-                n = len(fps)
-                roots, fps = np.concatenate([roots, root[at:to][out]]), np.concatenate([fps, fp[at:to][out]])
-                for k in range(0, len(fps), SQUARE):
-                    near = _near(fps[k : k + SQUARE, None], fp[None, at:to]) & (roots[k : k + SQUARE, None] != root[None, at:to])
-                    # Of two outsiders the earlier one has the pair.
-                    later = np.where(out, n + np.cumsum(out) - 1, len(fps))
-                    near &= (k + np.arange(len(near)))[:, None] < later[None, :]
-                    i, j = near.nonzero()
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(fps[k + i]), pa.array(fp[at + j])], ["a", "b"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(fps: np.ndarray, texts: list[str], first: np.ndarray | None) -> list[tuple[int, int]]:
+    """Places of a spanning forest's edges between alike texts: of all, or, where ``first`` marks one of two blocks, of one
+    block with the other."""
+    mine = {}  # shingles' hashes
+
+    def shingles(i: int) -> set[int]:
+        if i not in mine:
+            mine[i] = set(shingle_hashes(texts[i], SHINGLE).tolist())
+        return mine[i]
+
+    root = list(range(len(fps)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    rows, columns = (np.arange(len(fps)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    near = []
+    for a in range(0, len(rows), SQUARE):
+        bits = np.bitwise_count(fps[rows[a : a + SQUARE], None] ^ fps[None, columns])
+        i, j = np.nonzero(bits <= FILTER)
+        found = np.stack([bits[i, j].astype(np.int64), rows[a + i], columns[j]])
+        near.append(found[:, found[1] < found[2]] if first is None else found)
+    pairs = np.concatenate([np.empty((3, 0), np.int64), *near], axis=1)
+    out = []
+    for _, i, j in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+        if find(i) != find(j):
+            x, y = shingles(i), shingles(j)
+            if min(len(x), len(y)) >= ALIKE * max(len(x), len(y)) and (both := len(x & y)) >= ALIKE * (len(x) + len(y) - both):
+                root[find(i)] = find(j)
+                out.append((i, j))
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (root, i, j, block, fp, text) sorted by family and pair of blocks: edges between alike texts."""
+
+    def of(group: list[tuple]) -> list[tuple[int, int]]:
+        (_, i, j), fps, texts = group[0][0], np.array([x[2] for x in group], np.int64), [x[3] for x in group]
+        first = np.array([x[1] for x in group]) == i if i != j else None
+        return [(int(fps[a]), int(fps[b])) for a, b in linked(fps.view(np.uint64), texts, first)]
+
+    held, group, out = None, [], []
     for batch in batches:
-        keep, text, mine = [], None, set()
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            if (x := x.as_py()) != text:
-                text, mine = x, shingles(x)
-            keep.append(alike(mine, shingles(y.as_py())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are alike. ``texts``: hash and text of rows; ``nodes`` has each fp's hash."""
-    ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.where("a != b").select(ends.alias("e")).select("e.a", "e.b").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "hash"), "fp")
-    asked = written(texts.join(asked, "hash").dropDuplicates(["fp"]).select("fp", "text"), "asked")
-    of = lambda name: asked.select(F.col("fp").alias(name), F.col("text").alias(f"{name}_text"))
-    compared = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "a_text", "b_text")
-    return written(compared.mapInArrow(_verified, "a long, b long"), "alike")
-
-
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``nodes``: fp (each once), parts and hash. Links (v, root): the component of each fp that is alike another."""
-    met = nodes.select("fp", "parts").mapInArrow(_variants, "place long, fp long").repartition("place").sortWithinPartitions("place", "fp")
-    met = written(met.mapInArrow(_met, "a long, b long, place long"), "met")
-    edges = verified(met.where("b is not null").select("a", "b"), nodes, texts)
-    found = components(edges)
-    crowded = met.where("b is null").select("place", F.col("a").alias("fp")).join(found.withColumnRenamed("v", "fp"), "fp", "left")
-    crowded = written(crowded.select("place", "fp", F.coalesce("root", "fp").alias("root")), "crowded")
-    sizes = crowded.groupBy("place", "root").count().groupBy("place").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    apart = crowded.join(sizes.where("roots > 1"), "place").select("place", (F.col("root") == F.col("main")).alias("inside"), "root", "fp")
-    more = apart.repartition("place").sortWithinPartitions("place", "inside").mapInArrow(_outsiders, "a long, b long")
-    more = verified(more, nodes, texts)
-    return found if more.isEmpty() else components(edges.union(more))
+        for root, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, i, j) != held:
+                out += of(group) if len(group) > 1 else []
+                held, group = (root, i, j), []
+            group.append((held, *row))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["a", "b"])
+            out = []
+    if len(group) > 1 and (out := of(group)):
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["a", "b"])
+
+
+def links(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``nodes``: fp (each once), parts and hash; ``texts``: hash and text of rows. (v, root): the component of each fp that
+    is alike another, by links between those that meet."""
+    met = nodes.select("fp", "parts").mapInArrow(_variants, "place long, fp long").repartition("place").sortWithinPartitions("place")
+    met = written(met.mapInArrow(verified(crowd, FILTER), "a long, b long, crowded boolean").select("a", "b"), "met")
+    family = written(components(met).withColumnRenamed("v", "fp").join(nodes.select("fp", "hash"), "fp"), "family")
+    asked = written(texts.join(family, "hash").dropDuplicates(["fp"]).select("root", "fp", "text"), "asked")
+    sizes = asked.groupBy("root").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n"))
+    sizes = sizes.select("root", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.sqrt("n") / BLOCKS), F.lit(1)).cast("int").alias("blocks"))
+    placed = asked.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = copies.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "text")
+    dealt = copies.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "fp")
+    return components(dealt.mapInArrow(_alike, "a long, b long"))
 
 
 def alike_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

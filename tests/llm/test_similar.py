@@ -45,7 +45,8 @@ def grouped(n, linked):
 
 
 def brute(texts):
-    """The least place of each text's group: pairs that meet in a part, pass the filter and are alike, or print alike."""
+    """The least place of each text's group: pairs that print alike, or are of one family (by pairs that meet in a part and
+    pass the filter), pass the filter and are alike."""
     bits = [printed(t) for t in texts]
     apart = lambda i, j, a, b: sum(x != y for x, y in zip(bits[i][a:b], bits[j][a:b], strict=True))
     ends = range(64, 64 + similar.PARTS * similar.WIDTH, similar.WIDTH)
@@ -53,9 +54,11 @@ def brute(texts):
     def linked(i, j):
         far = apart(i, j, 0, 64)
         meets = any(apart(i, j, a, a + similar.WIDTH) <= 2 for a in ends)
-        return far == 0 or (far <= similar.FILTER and meets and alike(texts[i], texts[j]))
+        return far == 0, far <= similar.FILTER and meets, far <= similar.FILTER and alike(texts[i], texts[j])
 
-    return grouped(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if linked(i, j)])
+    found = {(i, j): linked(i, j) for i, j in combinations(range(len(texts)), 2)}
+    family = grouped(len(texts), [at for at, (_, met, _) in found.items() if met])
+    return grouped(len(texts), [(i, j) for (i, j), (same, _, near) in found.items() if same or (family[i] == family[j] and near)])
 
 
 @pytest.fixture(scope="module")
@@ -106,16 +109,33 @@ def test_large_groups(spark, changed):
     assert stays(spark, texts) == sorted(set(brute(texts)))
 
 
-def test_outsiders_of_crowded_places():
-    """Whoever isn't in a place's main component is compared with everyone there of another one."""
-    import pyarrow as pa
-
-    rng = random.Random(1)
-    rows = sorted((p, inside, 0 if inside else 1 + rng.randrange(40), rng.getrandbits(4)) for p in range(3) for inside in (False, True) for _ in range(700))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 999], strict=True)], ["place", "inside", "root", "fp"]) for a in range(0, len(rows), 999)]
-    got = [(a, b) for batch in similar._outsiders(iter(batches)) for a, b in zip(*batch.to_pydict().values(), strict=True)]
-    want = sum(1 for p in range(3) for (x, y) in combinations([r for r in rows if r[0] == p], 2) if not (x[1] and y[1]) and x[2] != y[2])
-    assert len(got) == want
+def test_places_of_any_size(spark, texts, monkeypatch):
+    """Places over CROWD are taken for families without a look, families of many blocks are compared block by block: whoever
+    meets is compared all the same."""
+    near = similar.verified(0, similar.FILTER)
+    monkeypatch.setattr(similar, "verified", lambda crowd, radius: near)
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 2000)
+    met = set(brute(texts))
+    assert set(stays(spark, texts)) <= met
+
+
+def test_blocks():
+    """Edges within blocks and between them connect what all pairs connect."""
+    import numpy as np
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in base) for _ in range(60)]
+    fps = np.array([similar.long_fingerprint(t)[0] for t in texts], np.int64).view(np.uint64)
+    near = lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= similar.FILTER and alike(texts[i], texts[j])
+    want = grouped(60, [(i, j) for i, j in combinations(range(60), 2) if near(i, j)])
+    block = np.array([rng.randrange(3) for _ in texts])
+    edges = []
+    for i, j in [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]:
+        at = np.flatnonzero((block == i) | (block == j))
+        found = similar.linked(fps[at], [texts[k] for k in at], block[at] == i if i != j else None)
+        edges += [(int(at[a]), int(at[b])) for a, b in found]
+    assert 1 < len(set(want)) < 60 and grouped(60, edges) == want == grouped(60, similar.linked(fps, texts, None))
 
 
 def test_odd_rows(spark):
