@@ -1,13 +1,14 @@
 """Mixing of sources to target weights by Poisson replication, with DataFrame functions alone.
 
 A source's mean repetition rate is its share of the target size over its documents. Each document draws its number of
-copies by inverting the Poisson distribution function at a number in [0, 1) made from a keyed hash of its doc_id, so a
-draw depends on nothing but the key, the document and the rate. Documents are exploded by their counts and sorted by a
-second keyed hash of document and copy: a global shuffle that any run repeats. A rate over ``MOST_RATE`` is split into
+copies by inverting the Poisson distribution function at a number in [0, 1) made from a keyed hash of its doc_id and text,
+so a draw depends on nothing but the key, the document and the rate. Documents are exploded by their counts and sorted by
+a second keyed hash of document and copy: a global shuffle that any run repeats. As that hash is uniform, the ranges of
+the sort's partitions are equal shares of its span, and nothing is computed twice to sample them. A rate over ``MOST_RATE`` is split into
 equal parts with draws of their own, whose sum is distributed alike.
 
-Defined results: null sources are one source; a null doc_id is drawn by its text; repeated rows draw alike and get their
-copies each; null and empty texts are documents like any other; an empty table gives no row; further columns stay."""
+Defined results: null sources are one source; rows that share a doc_id (null, say) draw by their texts as well; rows that
+repeat both draw alike and get their copies each, side by side in the order; null and empty texts are documents like any other; an empty table gives no row; further columns stay."""
 
 from __future__ import annotations
 
@@ -59,7 +60,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: int |
     """All columns of ``docs`` with the number of the copy (from 1) and the sort key, in its order."""
     their_source, name, draws, cdf, salt, their_salt, number = free_names(docs, "mix_source", "mix_name", "mix_draws", "mix_cdf", "mix_salt", "mix_their_salt", "mix_n")
     table = written(rates(docs, source, weights, size).select(F.col("source").alias(their_source), F.col("draws").alias(draws), F.col("cdf").alias(cdf)), "rates")
-    rows = docs.withColumn(name, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit(""))))))
+    rows = docs.withColumn(name, F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     same = F.col(source).eqNullSafe(F.col(their_source))
     if table.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(table), same)
@@ -73,7 +74,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: int |
     rows = rows.withColumn(number, F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, j: a + drawn(j))).where(F.col(number) > 0)
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number))))
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}/order"), name, F.col(copy).cast("string"))), 1, 15), 16, 10).cast("long")
-    return rows.withColumn(order, place).select(*docs.columns, copy, order).orderBy(order)
+    rows = rows.withColumn(order, place).select(*docs.columns, copy, order)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(parts, F.floor(F.col(order) / F.lit(2.0**60 / parts)).cast("int")).sortWithinPartitions(order, key)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,7 @@ r AS (SELECT source, (SELECT sum(n) FROM n) * 1.0::DOUBLE / (SELECT count(*) FRO
 p AS (SELECT source, rate, greatest(1, ceil(rate / 32))::INT AS draws FROM r),
 t AS (SELECT source, k, exp(-rate / draws) * pow(rate / draws, k) / gamma(k + 1) AS pk FROM p, range(0, 111) AS x(k)),
 c AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM (SELECT source, k, sum(pk) OVER (PARTITION BY source ORDER BY k) AS cdf FROM t) GROUP BY source),
-named AS (SELECT d.doc_id, d.source, d.text, coalesce(d.doc_id::VARCHAR, 'text:' || md5(coalesce(d.text, ''))) AS name, p.draws, c.cdf,
+named AS (SELECT d.doc_id, d.source, d.text, coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, '')) AS name, p.draws, c.cdf,
   row_number() OVER () AS r FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN c ON c.source IS NOT DISTINCT FROM p.source),
 u AS (SELECT *, ('0x' || substr(md5('7|' || name || '|' || j), 1, 13))::BIGINT / pow(2.0, 52) AS u FROM (SELECT *, unnest(range(1, draws + 1)) AS j FROM named)),
 k AS (SELECT r, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(text) AS text, any_value(name) AS name,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, read_table, text_or_empty
+from tessera.llm.common import chunks, read_spread, text_or_empty
 from tessera.llm.pretokens import Numbers, PreTokenizer
 from tessera.llm.tokens import RankMerger
 
@@ -183,4 +183,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, tex
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(read_spread(spark, sf_dir, "documents"))

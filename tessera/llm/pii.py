@@ -1,10 +1,15 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions alone.
 
-Numbers and dates that are valid (card numbers by their check digit, social security and phone numbers by their plan,
-IPv4 addresses by their octets, dates by the calendar) are mapped to a pair of digits in mixed radix and permuted by a
-keyed Feistel network over just those pairs, then written back in the same layout: the result is as valid as the value
-was, equal values stay equal everywhere, and different values stay different. E-mail addresses and secrets, which have no
-such domain, become keyed hashes. Texts without a sign of any form (``HINT``) are passed on without a closer look.
+Numbers and dates that are valid (card numbers by their check digit, bank accounts by theirs, social security and phone
+numbers by their plan, IPv4 addresses by their octets, dates by the calendar) are mapped to a pair of digits in mixed radix
+and permuted by a keyed Feistel network over just those pairs, then written back in the same layout: the result is as valid
+as the value was, equal values stay equal everywhere, and different values stay different. E-mail addresses and secrets,
+which have no such domain, become keyed hashes. Texts without a sign of any form (``HINT``) are passed on without a closer
+look. Four numbers joined by dots behind a v or a word for versions are no address.
+
+The key decides all of it, and whoever has it can undo it: a deployment sets ``spark.tessera.pii.secret`` (a name that
+Spark's own logs and pages redact; as a literal the key is in the plan too, for which spark.sql.redaction.string.regex is).
+The demonstration key stands in for it only so that results can be compared.
 
 Defined results: a null text stays null and an empty one empty; null doc_ids and repeated rows pass row by row; an empty
 table gives no row; further columns stay as they are."""
@@ -16,15 +21,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import free_names, read_spread
 
-#: A deployment passes its own key.
-KEY = "tessera demonstration key"
+SETTING = "spark.tessera.pii.secret"
+DEMONSTRATION_KEY = "tessera demonstration key"
 ROUNDS = 8
 
 #: The forms looked for, most specific first.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
-SECRET = r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=.-]{8,}+[\"']?)"
-IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
+#: Values behind a name; keys and tokens that their makers begin in a way of their own; signed tokens; private key blocks.
+NAMED_SECRET = r"(?i:password|passwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=.-]{8,}+[\"']?"
+BEARER = r"(?i:bearer)\s{1,3}[A-Za-z0-9_+/=.~-]{16,}+"
+MARKED_SECRET = r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{16,}+|github_pat_[A-Za-z0-9_]{16,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{30,}+|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)++"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+SECRET = rf"(?<![A-Za-z0-9_])(?:{MARKED_SECRET}|{NAMED_SECRET}|{BEARER})|{KEY_BLOCK}"
+#: Groups behind blanks have a digit, so that capitals behind an account aren't taken for a part of it.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?:(?: (?=[A-Z]{0,3}[0-9]))?[A-Z0-9]{4}){1,6}(?:(?: (?=[A-Z]{0,2}[0-9]))?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IP = rf"(?<![0-9.]|[vV])(?<!(?i:version|release|build)[ :=]{{1,2}})(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/])"
@@ -34,11 +46,15 @@ PHONE = r"(?<![0-9+])(?:1[ .-]?)?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?!
 ABROAD = r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]){7,12}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 #: No form is without one of these.
-HINT = "[0-9@=:]|AKIA"
-ANY = "|".join((EMAIL, SECRET, IP, SSN, ISO_DATE, DAY_DATE, MARKED_PHONE, PHONE, ABROAD, CARD))
+HINT = "[0-9@=:]|AKIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|AIza|eyJ|(?i:bearer)|-----BEGIN"
+ANY = "|".join((EMAIL, SECRET, IBAN, IP, SSN, ISO_DATE, DAY_DATE, MARKED_PHONE, PHONE, ABROAD, CARD))
 
-#: Dates that are permuted: SPAN * SPAN days from FIRST_DAY on (into 2102).
-FIRST_DAY, SPAN = "1900-01-01", 272
+#: The calendar from year 1 to 9999 in three eras, each permuted in itself: the first place of each and its radices.
+#: Places are days, or, for dates that only day first can be read as, days from the 13th of a month on.
+ERAS = ((0, 745, 931), (693_595, 272, 272), (767_579, 640, 4507))  # from 1900-01-01 and 2102-07-25 on
+LATE_ERAS = ((0, 59, 7121), (420_139, 210, 210), (464_239, 1004, 1741))  # from January 1900 and May 2099 on
+#: Days from the 13th on of a month, on average over the calendar's 400 years.
+LATE_DAYS = 18.436875
 
 
 def keyed(key: str, kind: str, value: Column, n: int) -> Column:
@@ -54,6 +70,13 @@ def bound(value: Column, then) -> Column:
 def feistel(key: str, kind: str, x: Column, a: Column | int, b: Column | int) -> Column:
     """The keyed permutation of [0, a * b): x is split into a left digit of radix a and a right one of radix b; each round
     adds a keyed hash of one to the other and swaps their roles."""
+    b = F.lit(b).cast("long") if isinstance(b, int) else b
+    start = bound(x.cast("long"), lambda v: F.struct(F.floor(v / b).cast("long").alias("l"), F.pmod(v, b).alias("r")))
+    return bound(permuted(key, kind, start, a, b), lambda s: s["l"] * b + s["r"])
+
+
+def permuted(key: str, kind: str, pair: Column, a: Column | int, b: Column | int) -> Column:
+    """The pair (l, r) of digits of radices a and b after all rounds."""
     a, b = (F.lit(v).cast("long") if isinstance(v, int) else v for v in (a, b))
 
     def step(s: Column, i: Column) -> Column:
@@ -63,8 +86,7 @@ def feistel(key: str, kind: str, x: Column, a: Column | int, b: Column | int) ->
         right = F.when(i % 2 == 1, F.pmod(s["r"] + F.pmod(number(s["l"]), b), b)).otherwise(s["r"])
         return F.struct(left.alias("l"), right.alias("r"))
 
-    start = bound(x.cast("long"), lambda v: F.struct(F.floor(v / b).cast("long").alias("l"), F.pmod(v, b).alias("r")))
-    return bound(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda s: s["l"] * b + s["r"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, step)
 
 
 def digits_of(m: Column) -> Column:
@@ -164,26 +186,91 @@ def address(key: str, m: Column) -> Column:
     return bound(feistel(key, "ip", parts(F.split(m, r"\.")), 65_536, 65_536), octets)
 
 
+def in_era(key: str, kind: str, place: Column, eras: tuple[tuple[int, int, int], ...]) -> Column:
+    """The place that another one of its era becomes."""
+    of = lambda k: F.when(place >= eras[2][0], eras[2][k]).when(place >= eras[1][0], eras[1][k]).otherwise(eras[0][k]).cast("long")
+    return of(0) + feistel(key, kind, place - of(0), of(1), of(2))
+
+
+def days_before(d: Column) -> Column:
+    return F.datediff(d, F.lit("0001-01-01").cast("date")).cast("long")
+
+
 def day(key: str, m: Column, form: str) -> Column:
-    """A calendar date in the span stays one; others are left."""
-    n = lambda d: F.datediff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
+    """A calendar date becomes another one of its era; what is none is left."""
+    moved = lambda d: F.date_add(F.lit("0001-01-01").cast("date"), bound(days_before(d), lambda n: in_era(key, "date", n, ERAS)).cast("int"))
+    return bound(F.to_date(F.try_to_timestamp(m, F.lit(form))), lambda d: F.when(d.isNull(), m).otherwise(F.date_format(moved(d), form)))
+
+
+def month_start(k: Column) -> Column:
+    """The first day of the k-th month of the calendar, from 0."""
+    return F.make_date((F.floor(k / 12) + 1).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1))
 
-    def new(d: Column) -> Column:
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(key, "date", n(d), SPAN, SPAN).cast("int"))
-        return F.when(n(d).between(0, SPAN * SPAN - 1), F.date_format(moved, form)).otherwise(m)
 
-    return bound(F.to_date(F.try_to_timestamp(m, F.lit(form))), lambda d: F.coalesce(new(d), m))
+def late_day(key: str, m: Column) -> Column:
+    """Day and month of a date after a month's 12th: among just those dates, so that no other layout's results are met."""
+    start = lambda k: days_before(month_start(k)) - 12 * k  # noqa: E731  places of earlier months
+
+    def place(d: Column) -> Column:
+        return bound(((F.year(d) - 1) * 12 + F.month(d) - 1).cast("long"), lambda k: start(k) + F.dayofmonth(d) - 13)
+
+    def written_as(y: Column) -> Column:
+        near = F.least(F.floor(y / LATE_DAYS).cast("long"), F.lit(9999 * 12 - 1).cast("long"))
+        month = bound(near, lambda k: k - F.when(y < start(k), 1).otherwise(0) + F.when((k < 9999 * 12 - 1) & (y >= start(k + 1)), 1).otherwise(0))
+        return bound(month, lambda k: F.date_format(F.date_add(month_start(k), (y - start(k) + 12).cast("int")), "dd/MM/yyyy"))
+
+    date = F.to_date(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")))
+    return bound(date, lambda d: F.when(d.isNull(), m).otherwise(bound(in_era(key, "late day", place(d), LATE_ERAS), written_as)))
 
 
 def day_date(key: str, m: Column) -> Column:
     """Dots: day first. Slashes: month first, or day first where only that is a date."""
     us = F.to_date(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))
-    return F.when(m.contains("."), day(key, m, "dd.MM.yyyy")).when(us.isNotNull(), day(key, m, "MM/dd/yyyy")).otherwise(day(key, m, "dd/MM/yyyy"))
+    return F.when(m.contains("."), day(key, m, "dd.MM.yyyy")).when(us.isNotNull(), day(key, m, "MM/dd/yyyy")).otherwise(late_day(key, m))
+
+
+def remainder(account: Column) -> Column:
+    """Of an account's letters (A is 10) and digits, as one number, by 97."""
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.substr(account, i, F.lit(1))
+        return F.pmod(F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(account)), F.lit(0), step)
+
+
+def iban(key: str, m: Column) -> Column:
+    """Country, length and letters stay, the account's digits are permuted and the check digits recomputed."""
+
+    def new(c: Column) -> Column:
+        own = F.substr(c, F.lit(5), F.length(c) - 4)
+        n = F.length(digits_of(own))
+        half = F.floor(n / 2).cast("int")
+        size = lambda k: F.round(F.pow(F.lit(10.0), k)).cast("long")
+        pair = bound(digits_of(own), lambda d: F.struct(F.substr(d, F.lit(1), half).cast("long").alias("l"), F.substr(d, half + 1, n - half).cast("long").alias("r")))
+        digits = bound(permuted(key, "iban", pair, size(half), size(n - half)), lambda p: F.concat(padded(p["l"], half), padded(p["r"], n - half)))
+        checked = lambda x: F.concat(F.substring(c, 1, 2), padded(98 - remainder(F.concat(x, F.substring(c, 1, 2), F.lit("00"))), 2), x)
+        return bound(laid_out(own, digits), lambda x: relaid(m, checked(x)))
+
+    compact = F.regexp_replace(m, " ", "")
+    valid = lambda c: (remainder(F.concat(F.substr(c, F.lit(5), F.length(c) - 4), F.substring(c, 1, 4))) == 1) & (F.length(digits_of(c)) >= 6)
+    # What isn't valid may still hold a card number behind its first four characters.
+    return bound(compact, lambda c: F.when(valid(c), new(c)).otherwise(F.concat(F.substring(m, 1, 4), card(key, F.substr(m, F.lit(5), F.length(m) - 4)))))
+
+
+def relaid(m: Column, text: Column) -> Column:
+    """``text`` with the blanks that m has, where it has them."""
+
+    def step(s: Column, i: Column) -> Column:
+        blank = F.substr(m, i, F.lit(1)) == " "
+        return F.struct(F.concat(s["out"], F.when(blank, " ").otherwise(F.substr(text, s["j"], F.lit(1)))).alias("out"), F.when(blank, s["j"]).otherwise(s["j"] + 1).alias("j"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(m)), F.struct(F.lit("").alias("out"), F.lit(1).alias("j")), step)["out"]
 
 
 def secret(key: str, m: Column) -> Column:
     """The name of an assigned secret stays; the value goes."""
-    head = F.regexp_extract(m, r"^(?:[A-Za-z_]+\s*[=:]\s*[\"']?)?", 0)
+    head = F.regexp_extract(m, rf"^(?:(?i:password|passwd|token|secret|api_key|apikey)\s*[=:]\s*[\"']?|(?i:bearer)\s+)?", 0)
     tail = F.regexp_extract(m, r"[\"']?$", 0)
     body = F.substr(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail))
     return F.concat(head, F.lit("[SECRET-"), keyed(key, "secret", body, 16), F.lit("]"), tail)
@@ -191,11 +278,12 @@ def secret(key: str, m: Column) -> Column:
 
 def pseudonym(key: str, m: Column) -> Column:
     """What a match of ANY becomes; itself where it isn't valid."""
-    whole = lambda p: m.rlike(f"^(?:{p})$")
+    whole = lambda p: m.rlike(rf"\A(?:{p})\z")
     return (
         F.when(m.contains("@") & whole(EMAIL), F.concat(F.lit("user-"), keyed(key, "email", F.lower(m), 16), F.lit("@example.invalid")))
         .when(whole(SECRET), secret(key, m))
-        .when(whole(IP), address(key, m))
+        .when(whole(IBAN), iban(key, m))
+        .when(m.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), address(key, m))
         .when(whole(SSN), ssn(key, m))
         .when(whole(ISO_DATE), day(key, m, "yyyy-MM-dd"))
         .when(whole(DAY_DATE), day_date(key, m))
@@ -205,7 +293,7 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", replaced: str = "pii_replaced") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", replaced: str = "pii_replaced") -> DataFrame:
     """``docs`` with its text column pseudonymised, and the number of values replaced."""
     t = F.col(text)
     (looked,) = free_names(docs, "pii_looked")
@@ -220,5 +308,9 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", replaced:
     return rows.select(*columns, F.when(seen, count).otherwise(F.lit(0)).cast("long").alias(replaced))
 
 
+def configured_key(spark: SparkSession) -> str:
+    return spark.conf.get(SETTING, None) or DEMONSTRATION_KEY
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read_spread(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(read_spread(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))

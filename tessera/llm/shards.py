@@ -2,8 +2,11 @@
 
 Pass 1 scatters every record into a bucket by seeded hashes: the shard is the highest of the keyed hashes of doc_id and
 shard (so one more shard takes rows only into itself), and within a shard the bucket is a hash as well. There are so many
-buckets that each holds about ``bucket_bytes`` of text. Pass 2 puts each bucket in a fixed order and permutes it by a
-Fisher-Yates shuffle seeded by the bucket; a record's slot is its place there behind the shard's earlier buckets.
+buckets that each holds about ``bucket_bytes`` of text, at any size of the corpus; a shuffle partition takes several of
+them one after the other where there are more than ``MOST_PARTITIONS``. Rows that are equal in doc_id and text can't be
+told apart by a hash: where more of them than ``REPEATS`` are, each goes to a bucket by a number of its own, so a hot row
+is spread over all buckets of its shard. Pass 2 puts each bucket in a fixed order and permutes it by a Fisher-Yates
+shuffle seeded by the bucket; a record's slot is its place there behind the shard's earlier buckets.
 
 Defined results: a null text has size 1 and the CRC of no bytes; null doc_ids are hashed as one key and share a shard;
 repeated rows get slots of their own; an empty table gives no row; further columns ride along if asked for."""
@@ -18,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, text_or_empty, written
+from tessera.llm.common import read_table, written
 
 SHARDS = 8
 SEED = 20_240_501
 #: Text that a bucket holds about: what a task shuffles in memory.
 BUCKET_BYTES = 16 << 20
-#: Buckets of all shards, about, at most: beyond 1.6 TB they grow instead, as a shuffle of millions of parts doesn't run.
-MOST_BUCKETS = 100_000
+#: Partitions of the shuffle at most: beyond, a partition is sorted by bucket and holds several; a task holds one at a time.
+MOST_PARTITIONS = 20_000
+#: Rows of one doc_id and text that stay in one bucket.
+REPEATS = 1000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -46,38 +51,75 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """For rows sorted by bucket: each bucket's rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column(batch.schema.get_field_index("bucket")).to_numpy()
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+        for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
+            if held and held[-1].column(held[-1].schema.get_field_index("bucket"))[-1].as_py() != bucket[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def permuted(table: pa.Table, seed: int) -> Iterator[pa.RecordBatch]:
+    """The rows of whole buckets, each bucket put in a fixed order and shuffled, with their places."""
+    if not table.num_rows:
+        return
+    table = table.sort_by([("bucket", "ascending"), ("h", "ascending"), ("doc_id", "ascending"), ("text_crc32", "ascending")])
+    bucket = table["bucket"].to_numpy()
+    bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    order = np.concatenate([a + fisher_yates(b - a, seed + int(bucket[a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    place = np.concatenate([np.arange(b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    table = table.take(pa.array(order)).append_column("place", pa.array(place, pa.int64()))
+    names = ["doc_id", "text", "size", "shard", "grown_shard", "text_crc32", "bucket", "place"]
+    yield from table.select(names).to_batches(max_chunksize=4096)
+
+
 def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, text, size, text_crc32, shard, slot and grown_shard of every row, each bucket in one partition in slot order."""
     t = F.col(text).cast("string")
     rows = docs.select(F.col(key).alias("doc_id"), t.alias("text"), (F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + 1).alias("size"))
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1, seed))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, math.ceil(total / shards / max(bucket_bytes, total / MOST_BUCKETS)))
-    # Repeated doc_ids scatter too: the text's hash takes part within the shard.
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(parts)).cast("int")
-    rows = rows.withColumn("bucket", F.col("shard") * parts + part)
+    rows = rows.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).withColumn("h", F.xxhash64(F.lit(seed + 2), "doc_id", "text"))
+    # Texts are read twice: here, for a narrow table of how many rows there are of each, and where they are shuffled.
+    seen = written(rows.groupBy("shard", "h").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "seen")
+    total = seen.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, math.ceil(total / shards / bucket_bytes))
+    part = lambda *by: F.pmod(F.xxhash64(F.lit(seed + 1), "h", *by), F.lit(parts)).cast("int")
+    bucket = lambda *by: F.col("shard").cast("long") * parts + part(*by)
+    hot = written(seen.where(F.col("n") > REPEATS).select("h", "shard", "n"), "hot") if parts > 1 else None
+    if hot is not None and hot.isEmpty():
+        hot = None
+    if hot is None:
+        rows = rows.withColumn("bucket", bucket())
+        counts = seen.withColumn("bucket", bucket()).groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    else:
+        # The k-th of the equal rows goes to the bucket of h and k mod parts; which of them is the k-th makes no difference.
+        names = hot.select("h", F.lit(True).alias("repeated"))
+        marked = rows.join(names, "h", "left")
+        turn = F.when(F.col("repeated"), F.monotonically_increasing_id() % parts)
+        marked = written(marked.withColumn("turn", turn), "turns")
+        rows = marked.withColumn("bucket", F.when(F.col("repeated"), bucket("turn")).otherwise(bucket())).drop("repeated", "turn")
+        counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     # One row for each bucket: as many as the corpus has memory-sized pieces.
-    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    kind = docs.schema[key].dataType.simpleString()
+    dealt = rows.repartitionById(min(shards * parts, MOST_PARTITIONS), F.pmod(F.col("bucket"), F.lit(MOST_PARTITIONS)).cast("int"))
+    dealt = dealt.sortWithinPartitions("bucket") if shards * parts > MOST_PARTITIONS else dealt
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        bucket = table["bucket"].to_numpy()
-        table = table.sort_by([("bucket", "ascending"), ("h", "ascending"), ("doc_id", "ascending"), ("text_crc32", "ascending")])
-        bucket = table["bucket"].to_numpy()
-        bounds = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        order = np.concatenate([a + fisher_yates(b - a, seed + int(bucket[a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        place = np.concatenate([np.arange(b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        table = table.take(pa.array(order)).drop_columns(["h"]).append_column("place", pa.array(place, pa.int64()))
-        yield from table.to_batches(max_chunksize=4096)
+        if shards * parts <= MOST_PARTITIONS:
+            held = list(batches)
+            return permuted(pa.Table.from_batches(held), seed) if held else iter(())
+        return (x for table in whole_buckets(batches) for x in permuted(table, seed))
 
-    rows = rows.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))).withColumn("h", F.xxhash64(F.lit(seed + 2), "doc_id", "text"))
-    kind = docs.schema[key].dataType.simpleString()
-    dealt = rows.repartitionById(shards * parts, F.col("bucket"))
-    out = dealt.mapInArrow(shuffle, f"doc_id {kind}, text string, size long, shard int, grown_shard int, bucket int, text_crc32 long, place long")
+    out = dealt.mapInArrow(shuffle, f"doc_id {kind}, text string, size long, shard int, grown_shard int, text_crc32 long, bucket long, place long")
     return out.join(offsets, "bucket").withColumn("slot", F.col("offset") + F.col("place")).drop("bucket", "place", "offset")
 
 

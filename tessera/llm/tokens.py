@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, read_table, text_or_empty
+from tessera.llm.common import chunks, read_spread, text_or_empty
 from tessera.llm.pretokens import Numbers, PreTokenizer, byte_symbols
 
 #: Distinct pre-tokens that a worker remembers at most; it forgets all of them beyond that. Speed only.
@@ -174,4 +174,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, te
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(read_table(spark, sf_dir, "documents"))
+    return count_tokens(read_spread(spark, sf_dir, "documents"))

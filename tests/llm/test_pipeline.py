@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import packing, pii, toxicity
-from tests.llm.test_native import poisson
+from tests.llm.test_native import named, poisson
 from tests.llm.test_similar import brute
 
 
@@ -54,7 +54,7 @@ def test_mixing(stages):
     n = Counter(r.source for r in before)
     got = Counter(r.doc_id for r in after)
     for r in before:
-        u = int(hashlib.md5(f"7|{r.doc_id}|1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        u = int(hashlib.md5(f"7|{named(r.doc_id, r.text)}|1".encode()).hexdigest()[:13], 16) / (1 << 52)
         assert got[r.doc_id] == poisson(u, len(before) / len(n) / n[r.source])
 
 
