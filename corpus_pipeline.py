@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import free_names, read_table, release, shared_dir
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
-from tessera.llm.pii import pseudonymised
+from tessera.llm.pii import configured_key, pseudonymised
 from tessera.llm.similar import one_of_each
 from tessera.llm.toxicity import accepted
 
@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (replaced,) = free_names(docs, "pii_replaced")
-    return pseudonymised(docs, replaced=replaced).select(*docs.columns)
+    return pseudonymised(docs, configured_key(spark), replaced=replaced).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
