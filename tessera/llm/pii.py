@@ -36,7 +36,7 @@ KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----E
 SECRET = rf"(?<![A-Za-z0-9_])(?:{MARKED_SECRET}|{NAMED_SECRET}|{BEARER})|{KEY_BLOCK}"
 #: Groups behind blanks have a digit, so that capitals behind an account aren't taken for a part of it.
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?:(?: (?=[A-Z]{0,3}[0-9]))?[A-Z0-9]{4}){1,6}(?:(?: (?=[A-Z]{0,2}[0-9]))?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-IP = rf"(?<![0-9.]|[vV])(?<!(?i:version|release|build)[ :=]{{1,2}})(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
+IP = rf"(?=[0-9])(?<![0-9.vV])(?<!(?i:version|release|build)[ :=]{{1,2}})(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/])"
@@ -196,10 +196,18 @@ def days_before(d: Column) -> Column:
     return F.datediff(d, F.lit("0001-01-01").cast("date")).cast("long")
 
 
-def day(key: str, m: Column, form: str) -> Column:
-    """A calendar date becomes another one of its era; what is none is left."""
-    moved = lambda d: F.date_add(F.lit("0001-01-01").cast("date"), bound(days_before(d), lambda n: in_era(key, "date", n, ERAS)).cast("int"))
-    return bound(F.to_date(F.try_to_timestamp(m, F.lit(form))), lambda d: F.when(d.isNull(), m).otherwise(F.date_format(moved(d), form)))
+def date(key: str, m: Column) -> Column:
+    """A calendar date becomes another one of its era; what is none is left. Dots: day first. Slashes: month first, or day
+    first where only that is a date."""
+    read = lambda form: F.to_date(F.try_to_timestamp(m, F.lit(form)))
+    forms = ((m.contains("-"), "yyyy-MM-dd"), (m.contains("."), "dd.MM.yyyy"), (m.contains("/"), "MM/dd/yyyy"))
+    found = F.coalesce(*(F.when(has, read(form)) for has, form in forms))
+
+    def moved(d: Column) -> Column:
+        new = bound(days_before(d), lambda n: F.date_add(F.lit("0001-01-01").cast("date"), in_era(key, "date", n, ERAS).cast("int")))
+        return bound(new, lambda x: F.coalesce(*(F.when(has, F.date_format(x, form)) for has, form in forms)))
+
+    return bound(found, lambda d: F.when(d.isNotNull(), moved(d)).when(m.contains("/"), late_day(key, m)).otherwise(m))
 
 
 def month_start(k: Column) -> Column:
@@ -223,12 +231,6 @@ def late_day(key: str, m: Column) -> Column:
     return bound(date, lambda d: F.when(d.isNull(), m).otherwise(bound(in_era(key, "late day", place(d), LATE_ERAS), written_as)))
 
 
-def day_date(key: str, m: Column) -> Column:
-    """Dots: day first. Slashes: month first, or day first where only that is a date."""
-    us = F.to_date(F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))
-    return F.when(m.contains("."), day(key, m, "dd.MM.yyyy")).when(us.isNotNull(), day(key, m, "MM/dd/yyyy")).otherwise(late_day(key, m))
-
-
 def remainder(account: Column) -> Column:
     """Of an account's letters (A is 10) and digits, as one number, by 97."""
 
@@ -285,8 +287,7 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(whole(IBAN), iban(key, m))
         .when(m.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), address(key, m))
         .when(whole(SSN), ssn(key, m))
-        .when(whole(ISO_DATE), day(key, m, "yyyy-MM-dd"))
-        .when(whole(DAY_DATE), day_date(key, m))
+        .when(whole(f"{ISO_DATE}|{DAY_DATE}"), date(key, m))
         .when(whole(f"{MARKED_PHONE}|{PHONE}"), phone(key, m))
         .when(whole(ABROAD), abroad(key, m))
         .otherwise(card(key, m))
