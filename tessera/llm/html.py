@@ -1,13 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are put in order of host and URL path; each is paired with the neighbour of its host whose path shares the longer
-prefix. The lines of a page's content (text blocks in an element declared as the content, article or main; in pages
-without one all blocks outside scripts, styles and elements that markup names as menus, headers, footers, sidebars,
-notices, adverts, forms or comments) are aligned with the neighbour's lines by a longest common subsequence, and shared
-lines are deleted, declared or not. A page with the same lines, one that holds all of a page's, and one that shares
-``COPY`` of both pages' characters or more are taken for copies, and the next nearest page of the host decides (up to
-``REACH`` pages before and after). Where ``TEMPLATE`` pages met first share that much without being the same, it is the
-host's template, and the nearest of them decides. A page with copies alone around it keeps its lines.
+prefix. All text lines of a page (blocks outside scripts and styles, menus and footers included) are aligned with all of
+the neighbour's by a longest common subsequence, and shared lines are deleted. Of the lines that alignment leaves, markup
+decides: lines of elements that are no content by their role in HTML (menus, footers, asides, forms ...) or by a whole
+class, id or role go, and where a page declares its content (article, main), lines outside of it go. An article or main is
+never dropped for its class.
+
+A page with the same lines, one that holds all of a page's content, and one that shares ``COPY`` of both pages' content
+characters or more are taken for copies, and the next nearest page of the host decides (up to ``REACH`` pages before and
+after). Where ``TEMPLATE`` pages met first share that much without being the same, it is the host's template, and the
+nearest of them decides. A page with copies alone around it is left to markup.
 
 Pages are parsed twice. First, keys and the lines' hashes and lengths are written and put in order: a range exchange, a
 sort, and ranks across ranges (from the ranges' sizes, one number each). Blocks of consecutive ranks, with a margin of
@@ -45,101 +48,158 @@ BLOCK = frozenset(
 DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form head iframe map math menu nav noframes noscript object search select svg template title video".split())
 DROPPED_OUTSIDE = frozenset(["header"])
 CONTENT = frozenset(["article", "main"])
-#: Words of class, id and role that name what isn't content.
+#: Class, id and role names, or words of a name that has none but these, that say an element isn't content.
 NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs captcha comment comments complementary consent contentinfo cookie cookies "
     "disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion "
     "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Elements nested deeper than this are taken for a part of their parent.
+DEEPEST = 2000
+#: Bits of a table of alignments that is kept whole; a larger one is halved.
+TABLE_BITS = 1 << 26
+#: What a line is by markup.
+APART, PLAIN, DECLARED = range(3)
 #: Start tags that end an open element of the first kind, up to the second.
 CLOSES = {"li": ("li", frozenset("ul ol menu".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr", frozenset(["table"])), "td": ("td th", frozenset("tr table".split())), "th": ("td th", frozenset("tr table".split())), "option": ("option", frozenset(["select"]))}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, with quoted values that may hold >.
+_QUOTED_END = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "xmp")}
+_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z0-9]+")
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in order: ("text", "", the text), ("start", name, attributes) and ("end", name, ""). Comments,
+    declarations, scripts and styles are passed over. Every character is looked at a bounded number of times: what has
+    once not been found up to the end isn't looked for again."""
+    at, end = 0, len(html)
+    quotes, raws = True, dict(_RAW_END)
+    while at < end:
+        opened = html.find("<", at)
+        if opened != at:
+            yield "text", "", html[at : opened if opened >= 0 else end]
+            if opened < 0:
+                return
+            at = opened
+        if html.startswith("<!--", at):
+            closed = html.find("-->", at + 4)
+            at = closed + 3 if closed >= 0 else end
+            continue
+        named = _NAME.match(html, at + 1)
+        if named is None and html[at + 1 : at + 2] not in ("!", "?", "/"):
+            yield "text", "", "<"
+            at += 1
+            continue
+        closed = _QUOTED_END.match(html, named.end()) if named and quotes else None
+        quotes = quotes and (named is None or closed is not None)
+        stop = closed.end() if closed else html.find(">", at) + 1
+        if not stop:  # an unfinished tag at the end
+            return
+        if named:
+            name = named[2].lower()
+            yield ("end", name, "") if named[1] else ("start", name, html[named.end() : stop - 1])
+            if not named[1] and name in _RAW_END:
+                found = raws[name].search(html, stop) if raws[name] else None
+                if found is None:
+                    return  # runs to the end
+                stop = found.start()
+        at = stop
 
 
 def named_apart(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role name something that isn't content."""
+    """Whether a whole class, id or role names something that isn't content."""
     if not attributes or not attributes.strip():
         return False
-    words = {w for m in _NAMED.findall(attributes) for w in _WORD.findall(m.lower())}
-    return bool(words & NOT_CONTENT) or (not inside and "header" in words) or bool(_HIDDEN.search(attributes))
-
-
-def lines_of(html: str | None) -> list[tuple[str, bool]]:
-    """The page's text blocks in order, without elements that markup sets apart; whether each is in declared content."""
-    out: list[tuple[str, bool]] = []
-    buffer: list[str] = []
-    # Open elements: name, whether dropped, whether in content.
+    for m in _NAMED.findall(attributes):
+        for name in m.lower().strip("\"'").split():
+            words = set(_WORD.findall(name))
+            if words and (words <= NOT_CONTENT or (not inside and words == {"header"})):
+                return True
+    return bool(_HIDDEN.search(attributes))
+
+
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """The page's text blocks in order, and what each is by markup: APART, DECLARED as content, or PLAIN. Text of an element
+    set apart is a line of its own, even inside a paragraph."""
+    out: list[tuple[str, int]] = []
+    buffers: tuple[list[str], list[str]] = ([], [])  # of content, of what is set apart
+    # Open elements: name, whether dropped, whether in content; the places of blocks among them; how many there are of each.
     stack: list[tuple[str, bool, bool]] = []
+    blocks: list[int] = []
+    open_: dict[str, int] = {}
 
-    def flush() -> None:
-        if buffer:
-            text = " ".join(unescape("".join(buffer)).split())
-            if text:
-                out.append((text, bool(stack) and stack[-1][2]))
-            buffer.clear()
+    def flush(both: bool = True) -> None:
+        for apart in (1, 0) if both else (1,):
+            if buffers[apart]:
+                text = " ".join(unescape("".join(buffers[apart])).split())
+                if text:
+                    out.append((text, APART if apart else DECLARED if stack and stack[-1][2] else PLAIN))
+                buffers[apart].clear()
 
     def close(at: int) -> None:
-        if any(name in BLOCK for name, _, _ in stack[at:]):
+        if blocks and blocks[-1] >= at:
             flush()
+        elif stack[-1][1] and not stack[at][1]:
+            flush(both=False)
+        for name, _, _ in stack[at:]:
+            open_[name] -= 1
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
+        was_dropped = stack[-1][1]
         del stack[at:]
-
-    for m in _TOKEN.finditer(html or ""):
-        text = m[5]
-        if text is not None:
-            if not (stack and stack[-1][1]):
-                buffer.append(text)
-            continue
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                close(at)
+        if was_dropped and not (stack and stack[-1][1]):
+            flush(both=False)
+
+    for kind, name, rest in tokens(html or ""):
+        if kind == "text":
+            buffers[bool(stack) and stack[-1][1]].append(rest)
+        elif kind == "end":
+            if open_.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name in BLOCK:
                 flush()
-            continue
-        if name in BLOCK:
-            # A block ends an open paragraph; items end items of their list.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-            if name in CLOSES:
-                kinds, until = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in kinds.split():
-                        close(i)
-                        break
-                    if stack[i][0] in until:
-                        break
-            flush()
-        elif name == "br":
-            buffer.append(" ")
-        if name in VOID or m[4].endswith("/") and name not in BLOCK:
-            continue
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        apart = name in DROPPED or (name in DROPPED_OUTSIDE and not inside) or (name not in ("html", "body") and named_apart(m[4], inside or name in CONTENT))
-        stack.append((name, dropped or apart, inside or name in CONTENT))
+        else:
+            if name in BLOCK:
+                # A block ends an open paragraph; items end items of their list.
+                if blocks and stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
+                if name in CLOSES:
+                    kinds, until = CLOSES[name]
+                    if any(open_.get(k) for k in kinds.split()):
+                        for i in reversed(blocks):
+                            if stack[i][0] in kinds.split():
+                                close(i)
+                                break
+                            if stack[i][0] in until:
+                                break
+                flush()
+            elif name == "br":
+                buffers[bool(stack) and stack[-1][1]].append(" ")
+            if name in VOID or (rest.endswith("/") and name not in BLOCK) or len(stack) >= DEEPEST:
+                continue
+            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            apart = name in DROPPED or (name in DROPPED_OUTSIDE and not inside) or (name not in ("html", "body", "article", "main") and named_apart(rest, inside))
+            if name in BLOCK:
+                blocks.append(len(stack))
+            stack.append((name, dropped or apart, inside or name in CONTENT))
+            open_[name] = open_.get(name, 0) + 1
     flush()
     return out
 
 
-def shared(mine: list, other: list) -> list[bool]:
-    """Which of my lines lie on a longest common subsequence with the other page's.
+def content(lines: list[tuple[str, int]]) -> list[bool]:
+    """Which lines markup takes for the page's content: those declared as it, or else all that aren't set apart."""
+    least = DECLARED if any(kind == DECLARED for _, kind in lines) else PLAIN
+    return [kind >= least for _, kind in lines]
 
-    Bit-parallel: bit j of a row is 0 where my first j + 1 lines have a longer common subsequence with what of the other
-    page has been read than my first j lines have."""
+
+def _rows(mine: list, other: list, keep: bool) -> list[int]:
+    """Bit j of a row is 0 where my first j + 1 lines have a longer common subsequence with what of the other page has been
+    read than my first j lines have. The row of nothing read, and then, with ``keep``, all others, else the last."""
     places: dict = {}
     for j, line in enumerate(mine):
         places[line] = places.get(line, 0) | 1 << j
@@ -147,7 +207,44 @@ def shared(mine: list, other: list) -> list[bool]:
     rows = [full]
     for line in other:
         hit = rows[-1] & places.get(line, 0)
-        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+        row = ((rows[-1] + hit) | (rows[-1] - hit)) & full
+        if keep:
+            rows.append(row)
+        else:
+            rows[-1] = row
+    return rows
+
+
+def _lengths(row: int, n: int) -> list[int]:
+    """Length of the longest common subsequence of my first 0, 1, ... n lines."""
+    out = [0]
+    for c in f"{row:0{n}b}"[::-1] if n else "":
+        out.append(out[-1] + (c == "0"))
+    return out
+
+
+def shared(mine: list, other: list) -> list[bool]:
+    """Which of my lines lie on a longest common subsequence with the other page's. Equal ends are taken off first; a large
+    table is never held: the other page is halved, and mine where both halves have most in common (bit-parallel)."""
+    a, b = 0, 0
+    while a < min(len(mine), len(other)) and mine[a] == other[a]:
+        a += 1
+    while b < min(len(mine), len(other)) - a and mine[-1 - b] == other[-1 - b]:
+        b += 1
+    x, y = mine[a : len(mine) - b], other[a : len(other) - b]
+    return [True] * a + _inner(x, y) + [True] * b
+
+
+def _inner(mine: list, other: list) -> list[bool]:
+    if not mine or not other:
+        return [False] * len(mine)
+    if len(other) > 1 and len(mine) * len(other) > TABLE_BITS:
+        half = len(other) // 2
+        left = _lengths(_rows(mine, other[:half], False)[0], len(mine))
+        right = _lengths(_rows(mine[::-1], other[half:][::-1], False)[0], len(mine))[::-1]
+        cut = max(range(len(mine) + 1), key=lambda j: left[j] + right[j])
+        return shared(mine[:cut], other[:half]) + shared(mine[cut:], other[half:])
+    rows = _rows(mine, other, True)
     out = [False] * len(mine)
     i = len(other)
     for j in range(len(mine) - 1, -1, -1):
@@ -161,17 +258,17 @@ def shared(mine: list, other: list) -> list[bool]:
 
 
 def less_shared(mine: tuple, others: Iterable[tuple]) -> list[int]:
-    """Places, among my content lines, of those shared with the nearest of ``others`` (in order of nearness) that isn't a
-    copy. Pages are (marks, sizes): the lines' hashes, and their lengths where they are content, else 0."""
-    marks = [m for m, n in zip(*mine, strict=True) if n]
-    sizes = [n for n in mine[1] if n]
+    """Places, among my lines, of those shared with the nearest of ``others`` (in order of nearness) that isn't a copy. Pages
+    are (marks, sizes): the lines' hashes, and their lengths where they are content by markup, else 0."""
+    marks, sizes = mine
     alike: list[list[int]] = []
-    for other in others if marks else ():
-        if other[0] == mine[0]:
+    for other in others if any(sizes) else ():
+        if other[0] == marks:
             continue
         drop = shared(marks, other[0])
-        places, size = [i for i, d in enumerate(drop) if d], sum(n for n, d in zip(sizes, drop, strict=True) if d)
-        if len(places) == len(marks):
+        places = [i for i, d in enumerate(drop) if d]
+        size = sum(n for n, d in zip(sizes, drop, strict=True) if d)
+        if size == sum(sizes):
             continue
         if size < COPY * sum(sizes) or size < COPY * sum(other[1]):
             return places
@@ -200,12 +297,6 @@ def keyed(pages: DataFrame, key: str) -> DataFrame:
     return pages.select(F.md5(whole).alias("id"), F.col(key).alias("page_id"), url.alias("url"), html.alias("html"))
 
 
-def content(lines: list[tuple[str, bool]]) -> list[bool]:
-    """Which lines are the page's content: those declared as it, or else all."""
-    declared = any(inside for _, inside in lines)
-    return [inside or not declared for _, inside in lines]
-
-
 def measured(rows: DataFrame) -> DataFrame:
     """id, page_id, url, host and path of every row, and its marks and sizes."""
     from xxhash import xxh64_intdigest
@@ -224,18 +315,20 @@ def measured(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id string, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, path string, marks array<long>, sizes array<int>")
 
 
-def contents(rows: DataFrame) -> DataFrame:
-    """id, page_id, url and the content lines (as one text) of every row."""
+def contents(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """page_id, url and text of every row: the lines that alignment leaves and markup takes for content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                found = [lines_of(h.as_py()) for h in part.column(3)]
-                texts = ["\n".join(x for (x, _), c in zip(lines, content(lines), strict=True) if c) for lines in found]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(texts, pa.string())], ["id", "page_id", "url", "text"])
+                part, texts = batch.slice(a, 500), []
+                for html, gone in zip(part.column(2), part.column(3).to_pylist(), strict=True):
+                    lines, gone = lines_of(html.as_py()), set(gone or ())
+                    texts.append("\n".join(x for i, ((x, _), c) in enumerate(zip(lines, content(lines), strict=True)) if c and i not in gone))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, f"id string, page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
+    joined = rows.join(drop, "id", "left").select("page_id", "url", "html", "dropped")
+    return joined.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def by_rank(rows: DataFrame) -> DataFrame:
@@ -306,8 +399,7 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     rows = keyed(pages, key)
     drop = written(dropped(written(measured(rows), "pages")), "dropped")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    found = contents(rows).join(drop, "id", "left").select("page_id", "url", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
+    found = contents(rows, drop)
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
