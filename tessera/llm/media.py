@@ -33,7 +33,7 @@ def payload_of(data: bytes) -> bytes:
 
 def store(payload: bytes) -> bytes:
     most = webp.MOST_SIDE * UNIT
-    return b"".join(webp.encode_bytes(payload[a : a + most], WIDTH) for a in range(0, len(payload), most))
+    return b"".join(webp.encode_column(payload[a : a + most], WIDTH) for a in range(0, len(payload), most))
 
 
 def load(media: bytes) -> np.ndarray:

@@ -1,11 +1,10 @@
 """Lossless WebP (VP8L) files to pixel arrays, and back.
 
 The decoder reads prefix codes (simple and normal, in one or several groups), literals, back-references and the colour
-cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Where all channels of an image use
-one and the same prefix code and nothing but literals, symbols are looked up several at a time.
+cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
 
-The encoder writes any mix of these on request; ``encode_bytes`` is its quick form for columns: literals under one fixed
-prefix code, packed with array operations."""
+The encoder writes any mix of these on request; ``encode_column`` is the form for columns: it finds back-references and
+hits of the colour cache by sorting, weighs transforms by entropy and packs all codes with array operations."""
 
 from __future__ import annotations
 
@@ -38,13 +37,12 @@ def ceil_shift(x: int, bits: int) -> int:
 
 def canonical(lengths: Sequence[int]) -> list[int]:
     """Each symbol's code with its first bit lowest, as the stream has it; codes go by length, then symbol."""
-    codes, code = [0] * len(lengths), 0
-    for n in range(1, 16):
-        code <<= 1
-        for s, length in enumerate(lengths):
-            if length == n:
-                codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-                code += 1
+    codes, code, last = [0] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
     return codes
 
 
@@ -141,46 +139,8 @@ def read_extra(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
 
 
-@lru_cache(8)
-def several(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
-    """For the next 16 bits: the symbols that they hold in full, one after the other, and how many bits those take."""
-    code = code_of(lengths)
-    symbols, taken = [], []
-    for v in range(1 << 16):
-        at, out = 0, bytearray()
-        while True:
-            entry = code.table[(v >> at) & code.mask]
-            if at + (entry & 15) > 16:
-                break
-            out.append(entry >> 4)
-            at += entry & 15
-        symbols.append(bytes(out))
-        taken.append(at)
-    return symbols, taken
-
-
-#: Headers of main images read last: (bits before, bytes, mask of the last byte, bits, cache bits, codes). Images of one
-#: writer often share theirs, and telling that is quicker than reading it.
-_HEADERS: list[tuple] = []
-
-
-def _known_header(bits: Bits) -> tuple | None:
-    at, before = bits.at >> 3, bits.at & 7
-    for entry in _HEADERS:
-        if entry[0] == before:
-            head, n = entry[1], len(entry[1])
-            mine = bits.data[at : at + n]
-            if len(mine) == n and mine[1:-1] == head[1:-1] and mine[0] >> before == head[0] >> before and (mine[-1] ^ head[-1]) & entry[2] == 0:
-                return entry
-    return None
-
-
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as (height, width) of ARGB."""
-    began = bits.at
-    if main and (known := _known_header(bits)):
-        bits.at += known[3]
-        return _body(bits, width, height, known[4], known[5], None, 0)
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("too large a colour cache")
@@ -191,75 +151,51 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    if main and groups == 1 and meta is None:
-        head = bits.data[began >> 3 : (bits.at + 7) >> 3]
-        if len(head) > 2:
-            _HEADERS.insert(0, (began & 7, head, (1 << ((bits.at - 1) & 7) + 1) - 1, bits.at - began, cache_bits, codes))
-            del _HEADERS[8:]
-    return _body(bits, width, height, cache_bits, codes, meta, meta_bits)
-
-
-def _body(bits: Bits, width: int, height: int, cache_bits: int, codes: list, meta: np.ndarray | None, meta_bits: int) -> np.ndarray:
-    total, groups = width * height, len(codes)
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and green.mask and green.mask <= 0xFFFF and not any(green.lengths[256:]) and green.lengths[:256] == red.lengths == blue.lengths == alpha.lengths:
-        return _literals(bits, green.lengths[:256], total).reshape(height, width)
-    return _general(bits, width, total, cache_bits, codes, meta, meta_bits).reshape(height, width)
-
-
-def _literals(bits: Bits, lengths: tuple[int, ...], total: int) -> np.ndarray:
-    """All channels have one code and there are no other symbols: the stream is 4 * total bytes under that code."""
-    symbols, taken = several(lengths)
-    windows, at, wanted = bits.windows, bits.at, 4 * total
-    out, have, end = [], 0, len(bits.windows) - 4
-    put = out.append
-    while have < wanted:
-        if at >> 3 > end:
-            raise ValueError("the stream has ended")
-        # 57 bits: three lookups of 16.
-        v = windows[at >> 3] >> (at & 7)
-        s = symbols[v & 0xFFFF]
-        n = taken[v & 0xFFFF]
-        put(s)
-        have += len(s)
-        v >>= n
-        at += n
-        s = symbols[v & 0xFFFF]
-        n = taken[v & 0xFFFF]
-        put(s)
-        have += len(s)
-        v >>= n
-        at += n
-        s = symbols[v & 0xFFFF]
-        put(s)
-        have += len(s)
-        at += taken[v & 0xFFFF]
-    data = np.frombuffer(b"".join(out), np.uint8)
-    for s in data[wanted:].tolist():
-        at -= lengths[s]
-    bits.at = at
-    g, r, b, a = data[:wanted].reshape(total, 4).T.astype(np.uint32)
-    return a << 24 | r << 16 | g << 8 | b
+    return _body(bits, width, width * height, cache_bits, codes, meta, meta_bits).reshape(height, width)
 
 
-def _general(bits: Bits, width: int, total: int, cache_bits: int, codes: list, meta: np.ndarray | None, meta_bits: int) -> np.ndarray:
-    out = [0] * total
-    cache = [0] * (1 << cache_bits)
-    shift = 32 - cache_bits
-    i, cached = 0, 0
-    group = codes[0]
+def _body(bits: Bits, width: int, total: int, cache_bits: int, codes: list, meta: np.ndarray | None, meta_bits: int) -> np.ndarray:
+    if meta is not None:
+        meta = meta.tolist()
+    out: list[int] = []
+    put = out.append
+    cache, cached, shift = [0] * (1 << cache_bits), 0, 32 - cache_bits
+    windows, at, end = bits.windows, bits.at, len(bits.windows)
+    (green, red, blue, alpha, far), i = codes[0], 0
+    green_table, green_mask, red_table, red_mask = green.table, green.mask, red.table, red.mask
+    blue_table, blue_mask, alpha_table, alpha_mask = blue.table, blue.mask, alpha.table, alpha.mask
     while i < total:
         if meta is not None:
-            group = codes[int(meta[i // width >> meta_bits, i % width >> meta_bits])]
-        s = group[0].read(bits)
+            green, red, blue, alpha, far = codes[meta[i // width >> meta_bits][i % width >> meta_bits]]
+            green_table, green_mask, red_table, red_mask = green.table, green.mask, red.table, red.mask
+            blue_table, blue_mask, alpha_table, alpha_mask = blue.table, blue.mask, alpha.table, alpha.mask
+        if at >> 3 >= end:
+            raise ValueError("the stream has ended")
+        # 57 bits or more; three codes have 45 at most.
+        v = windows[at >> 3] >> (at & 7)
+        entry = green_table[v & green_mask]
+        n = entry & 15
+        s = entry >> 4
         if s < 256:
-            r = group[1].read(bits)
-            b = group[2].read(bits)
-            out[i] = group[3].read(bits) << 24 | r << 16 | s << 8 | b
+            entry = red_table[v >> n & red_mask]
+            n += entry & 15
+            r = entry >> 4
+            entry = blue_table[v >> n & blue_mask]
+            n += entry & 15
+            b = entry >> 4
+            if n > 42:
+                at += n
+                n = 0
+                v = windows[at >> 3] >> (at & 7) if at >> 3 < end else 0
+            entry = alpha_table[v >> n & alpha_mask]
+            at += n + (entry & 15)
+            put((entry >> 4) << 24 | r << 16 | s << 8 | b)
             i += 1
         elif s < 280:
+            bits.at = at + n
             length = read_extra(bits, s - 256)
-            code = read_extra(bits, group[4].read(bits))
+            code = read_extra(bits, far.read(bits))
+            at = bits.at
             if code > len(NEAR):
                 distance = code - len(NEAR)
             else:
@@ -267,15 +203,20 @@ def _general(bits: Bits, width: int, total: int, cache_bits: int, codes: list, m
                 distance = max(1, x + y * width)
             if distance > i or i + length > total:
                 raise ValueError("a back-reference outside the image")
-            for k in range(i, i + length):
-                out[k] = out[k - distance]
+            if distance >= length:
+                out += out[i - distance : i - distance + length]
+            else:
+                out += (out[i - distance : i] * (length // distance + 1))[:length]
             i += length
         else:
+            at += n
             while cached < i:
-                cache[(CACHE_FACTOR * out[cached] & 0xFFFFFFFF) >> shift] = out[cached]
+                pixel = out[cached]
+                cache[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> shift] = pixel
                 cached += 1
-            out[i] = cache[s - 280]
+            put(cache[s - 280])
             i += 1
+    bits.at = at
     return np.array(out, np.uint32)
 
 
@@ -333,6 +274,26 @@ def _argb(channels: np.ndarray) -> np.ndarray:
 def _predict(residual: np.ndarray | None, pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     """Inverse: pixels from residuals; with residual None forward: residuals from pixels."""
     height, width = (pixels if residual is None else residual).shape[:2]
+    kinds = np.unique(modes)
+    if len(kinds) == 1 and kinds[0] in (1, 2):
+        # One mode everywhere, left or top: the first row goes by its left neighbours, the first column by its top ones.
+        axis = 1 if kinds[0] == 1 else 0
+        first = np.array([255, 0, 0, 0])
+        if residual is None:
+            out = pixels.copy()
+            out[:, 1:] -= pixels[:, :-1] if axis else 0
+            out[1:] -= 0 if axis else pixels[:-1]
+            out[1:, 0] -= pixels[:-1, 0] if axis else 0
+            out[0, 1:] -= 0 if axis else pixels[0, :-1]
+            out[0, 0] -= first
+            return out & 0xFF
+        out = residual.copy()
+        out[0, 0] += first
+        if axis:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        else:
+            out[0] = np.cumsum(out[0], axis=0)
+        return np.cumsum(out, axis=axis) & 0xFF
     done = (pixels if residual is None else residual).tolist()
     out = done if residual is not None else [[[0] * 4 for _ in range(width)] for _ in range(height)]
     for y in range(height):
@@ -447,27 +408,36 @@ class BitWriter:
 
 def huffman_lengths(counts: Sequence[int], most: int = 15) -> list[int]:
     """Code lengths of a complete prefix code; small counts are raised until none is longer than ``most``."""
-    import heapq
-
-    used = [s for s, c in enumerate(counts) if c]
+    ranked = sorted((c, s) for s, c in enumerate(counts) if c)
     lengths = [0] * len(counts)
-    if len(used) == 1:
-        lengths[used[0]] = 1
+    if len(ranked) == 1:
+        lengths[ranked[0][1]] = 1
+    if len(ranked) < 2:
         return lengths
-    floor = 1
-    while used:
-        heap = [(max(counts[s], floor), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        lengths = [0] * len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths) <= most:
-            break
+    n, floor = len(ranked), 1
+    while True:
+        # Leaves in order, then inner nodes as they are made: both ascend, so the two least are at their fronts.
+        weight = [max(c, floor) for c, _ in ranked]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, inner = inner, inner + 1
+                total += weight[pick]
+                parent[pick] = node
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth) <= most:
+            for (_, s), d in zip(ranked, depth, strict=False):
+                lengths[s] = d
+            return lengths
         floor *= 2
-    return lengths
 
 
 def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
@@ -484,38 +454,37 @@ def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
             out.write(used[1], 8)
     else:
         tokens: list[tuple[int, int, int]] = []  # symbol, extra, extra bits
-        i = 0
-        while i < len(lengths):
-            j = i
-            while j < len(lengths) and lengths[j] == lengths[i]:
-                j += 1
-            run = j - i
-            if lengths[i] == 0 and run >= 3:
-                run = min(run, 138)
-                tokens.append((17, run - 3, 3) if run < 11 else (18, run - 11, 7))
-            elif lengths[i] and run >= 4:
-                run = min(run, 7)
-                tokens += [(lengths[i], 0, 0), (16, run - 4, 2)]
+        last = -1
+        for s in [*used, len(lengths)]:
+            gap = s - last - 1
+            while gap >= 11:
+                run = min(gap, 138)
+                tokens.append((18, run - 11, 7))
+                gap -= run
+            if gap >= 3:
+                tokens.append((17, gap - 3, 3))
             else:
-                run = 1
-                tokens.append((lengths[i], 0, 0))
-            i += run
+                tokens += [(0, 0, 0)] * gap
+            if s < len(lengths):
+                tokens.append((lengths[s], 0, 0))
+            last = s
         counts = [0] * 19
         for s, _, _ in tokens:
             counts[s] += 1
         own = huffman_lengths(counts, 7)
         if sum(1 for n in own if n) == 1:  # a second one makes the code complete
             own[next(s for s in range(19) if not own[s])] = 1
-        out.write(0, 1)
         n = max(4, 1 + max(i for i, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
-        out.write(n - 4, 4)
+        value, at = (n - 4) << 1, 5
         for s in CODE_LENGTH_ORDER[:n]:
-            out.write(own[s], 3)
-        out.write(0, 1)
+            value |= own[s] << at
+            at += 3
+        at += 1  # all lengths are given
         codes = canonical(own)
         for s, extra, size in tokens:
-            out.write(codes[s], own[s])
-            out.write(extra, size)
+            value |= (codes[s] | extra << own[s]) << at
+            at += own[s] + size
+        out.write(value, at)
     if len([n for n in lengths if n]) <= 1:
         return [(0, 0)] * len(lengths)
     return list(zip(canonical(lengths), lengths, strict=True))
@@ -660,53 +629,197 @@ def encode(rgba: np.ndarray, transforms: Sequence[tuple] = (), cache_bits: int =
     return riff(out.bytes())
 
 
-#: Bytes of texts, most common first, for the fixed prefix code of ``encode_bytes``; all others follow in order.
-COMMON = b" enithaordslu\xc3cgmpbwvqfzy\xa9.,kTEAIOHRNDSL\n\xff\xa8jx&%#*$!\xb3\xad\xb1\xa1\xbc\xb6\xa4\xa7\xaa0123456789CUMPBWVQFGZYKXJ-:;?\"'()/|@+_=<>"
-#: Longest code of that prefix code.
-FIXED_MOST = 13
+#: Longest prefix code that ``encode_column`` uses, and bits of its colour cache.
+LONGEST = 12
+CACHE_BITS = 8
+LONGEST_COPY = 4096
+_NEAR_CODES: dict[int, dict[int, int]] = {}
+
+
+_CHANNEL = np.arange(4) * 256
+
+
+def _entropy(argb: np.ndarray) -> float:
+    """Bits of the four channels, each with a code of its own."""
+    c = np.bincount((argb.view(np.uint8).reshape(-1, 4) + _CHANNEL).ravel(), minlength=1)
+    c = c[c > 0]
+    return float((c * np.log2(len(argb) / c)).sum())
+
+
+def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references, in order and apart: runs of pixels that repeat, pair by pair, the last
+    place where the pair was."""
+    if len(argb) < 3:
+        return []
+    pairs = argb[:-1].astype(np.uint64) << np.uint64(32) | argb[1:]
+    order = np.argsort(pairs, kind="stable")
+    again = pairs[order[1:]] == pairs[order[:-1]]
+    if not again.any():
+        return []
+    distance = np.zeros(len(pairs) + 1, np.int64)
+    distance[order[1:][again]] = order[1:][again] - order[:-1][again]
+    change = np.flatnonzero(np.append(True, distance[1:] != distance[:-1]))
+    ends = np.append(change[1:], len(distance))
+    out, free = [], 0
+    run = distance[change] > 0
+    for a, b, d in zip(change[run].tolist(), ends[run].tolist(), distance[change[run]].tolist(), strict=True):
+        a = max(a, free)
+        while b + 1 - a >= 2:
+            length = min(b + 1 - a, LONGEST_COPY)
+            out.append((a, length, d))
+            a += length
+            free = a
+    return out
 
 
-@lru_cache(1)
-def fixed_code() -> tuple[tuple[int, ...], np.ndarray, np.ndarray, bytes, int]:
-    """Lengths by byte; bits and lengths of pairs of bytes; the image header that announces the code, and its bits.
-    The weight of the byte at place r is one over (r + 8) squared."""
-    order = [*dict.fromkeys([*COMMON, *range(256)])]
-    counts = [0] * 256
-    for r, b in enumerate(order):
-        counts[b] = (1 << 24) // (r + 8) ** 2
-    lengths = huffman_lengths(counts, FIXED_MOST)
-    out = BitWriter()
-    out.write(0, 1)  # no transform
-    out.write(0, 1)  # no colour cache
+def _hits(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pixels the colour cache holds when they come, and all pixels' slots."""
+    slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(argb), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    return hit, slot
+
+
+def _code_of(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for the counts; bits of each symbol and their number."""
+    found = counts.tolist()
+    if np.count_nonzero(counts) == 1 and int(counts.argmax()) >= 256:
+        lengths = _two(found)
+    else:
+        lengths = huffman_lengths(found, LONGEST)
+    pairs = np.array(write_code(out, lengths), np.uint64)
+    return pairs[:, 0], pairs[:, 1].astype(np.int64)
+
+
+def _write_body(out: BitWriter, argb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the main image's codes; values and bits of all that follows, in order."""
+    near = _NEAR_CODES.setdefault(width, {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))})
+    copies = _copies(argb)
+    single = np.ones(len(argb), bool)
+    for a, length, _ in copies:
+        single[a : a + length] = False
+    hit, slot = _hits(argb, CACHE_BITS)
+    hit &= single
+    cache_bits = CACHE_BITS if np.count_nonzero(hit) > 3 else 0
+    if not cache_bits:
+        hit[:] = False
+    literal = np.flatnonzero(single & ~hit)
+    hits = np.flatnonzero(hit)
+    place, lengths, distances = (np.array(x, np.int64) for x in zip(*copies, strict=True)) if copies else (np.empty(0, np.int64),) * 3
+    length_codes = [_prefix(n) for n in lengths.tolist()]
+    distance_codes = [_prefix(near.get(d, d + len(NEAR))) for d in distances.tolist()]
+    channels = [argb >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24)]
+    of = [c[literal] for c in channels]  # green, red, blue, alpha
+    size = 280 + (1 << cache_bits if cache_bits else 0)
+    green = np.bincount(of[0], minlength=size)
+    if cache_bits:
+        green += np.bincount(280 + slot[hits].astype(np.int64), minlength=size)
+    green += np.bincount(np.array([256 + c[0] for c in length_codes], np.int64), minlength=size)
+    # The other channels share a code: its table is made once, and so is its search.
+    rest = np.bincount(np.concatenate(of[1:]), minlength=256)
+    far = np.bincount(np.array([c[0] for c in distance_codes], np.int64), minlength=40)
+    out.write(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.write(cache_bits, 4)
     out.write(0, 1)  # one group
-    for extra in (24, 0, 0, 0):
-        write_code(out, [*lengths, *[0] * extra])
-    write_code(out, [1] + [0] * 39)
-    code, n = np.array(canonical(lengths), np.uint32), np.array(lengths, np.uint32)
-    first, second = np.arange(1 << 16) & 0xFF, np.arange(1 << 16) >> 8
-    return tuple(lengths), code[first] | code[second] << n[first], (n[first] + n[second]).astype(np.int64), out.bytes(), out.n
-
-
-def encode_bytes(data: bytes, width: int) -> bytes:
-    """A WebP file of so wide an image whose RGBA samples are ``data``: literals under the fixed code."""
-    pixels = np.frombuffer(data, np.uint8).reshape(-1, 4)
-    height = len(pixels) // width
-    _, codes, sizes, header, header_bits = fixed_code()
-    pairs = np.ascontiguousarray(pixels[:, [1, 0, 2, 3]]).view("<u2").ravel()  # green, red, blue, alpha
-    start = BitWriter()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (int.from_bytes(header, "little"), header_bits)):
-        start.write(value, n)
-    n = sizes[pairs]
-    ends = np.cumsum(n) + start.n
-    at = ends - n
+    green_code, green_size = _code_of(out, green)
+    at = out.n
+    rest_code, rest_size = _code_of(out, rest)
+    written, bits = out.value >> at, out.n - at
+    for _ in range(2):
+        out.write(written, bits)
+    return _fields(out, far, literal, of, hits, slot, place, length_codes, distance_codes, (green_code, green_size), (rest_code, rest_size))
+
+
+def _fields(out, far, literal, of, hits, slot, place, length_codes, distance_codes, green, rest):
+    far_code, far_size = _code_of(out, far)
+    where = np.concatenate([literal, hits, place])
+    values, sizes = np.zeros((len(where), 4), np.uint64), np.zeros((len(where), 4), np.int64)
+    n, m = len(literal), len(literal) + len(hits)
+    values[:n, 0], sizes[:n, 0] = green[0][of[0]], green[1][of[0]]
+    for k in (1, 2, 3):
+        values[:n, k], sizes[:n, k] = rest[0][of[k]], rest[1][of[k]]
+    symbols = 280 + slot[hits].astype(np.int64)
+    values[n:m, 0], sizes[n:m, 0] = green[0][symbols], green[1][symbols]
+    for k, codes, (code, size), base in ((0, length_codes, green, 256), (2, distance_codes, (far_code, far_size), 0)):
+        if codes:
+            symbol, extra, bits = np.array(codes, np.int64).T
+            values[m:, k], sizes[m:, k] = code[base + symbol], size[base + symbol]
+            values[m:, k + 1], sizes[m:, k + 1] = extra.astype(np.uint64), bits
+    order = np.argsort(where, kind="stable")
+    return values[order].ravel(), sizes[order].ravel()
+
+
+def _packed(out: BitWriter, values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """What the writer has, and the values behind it."""
+    ends = np.cumsum(sizes) + out.n
+    at = ends - sizes
     size = (int(ends[-1]) + 7) // 8
-    # Bits of different pairs never meet, so their sums by byte are exact.
-    value, byte = codes[pairs].astype(np.uint64) << (at & 7).astype(np.uint64), at >> 3
-    out = np.zeros(size + 5)
+    # Bits of different values never meet, so their sums by byte are exact.
+    shifted, byte = values << (at & 7).astype(np.uint64), at >> 3
+    stream = np.zeros(size + 5)
     for k in range(5):
-        part = ((value >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.float64)
-        out[k:] += np.bincount(byte, part, size + 5)[: size + 5 - k]
-    stream = out[:size].astype(np.uint8)
-    head = np.frombuffer(start.bytes(), np.uint8)
+        part = ((shifted >> np.uint64(8 * k)) & np.uint64(0xFF)).astype(np.float64)
+        stream[k:] += np.bincount(byte, part, size + 5)[: size + 5 - k]
+    stream = stream[:size].astype(np.uint8)
+    head = np.frombuffer(out.bytes(), np.uint8)
     stream[: len(head)] |= head
-    return riff(stream.tobytes())
+    return stream.tobytes()
+
+
+def encode_column(data: bytes, width: int) -> bytes:
+    """A WebP file of so wide an image whose RGBA samples are ``data``. Where an image has few colours they become a
+    palette; else green is subtracted, or pixels are predicted from their left or top neighbours, where that makes the
+    channels' entropy less."""
+    rgba = np.frombuffer(data, "<u4")
+    argb = (rgba & np.uint32(0xFF00FF00)) | (rgba & np.uint32(0xFF)) << np.uint32(16) | rgba >> np.uint32(16) & np.uint32(0xFF)
+    height = len(argb) // width
+    out = BitWriter()
+    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        out.write(value, n)
+    coded, argb = _transformed(out, argb, width, height)
+    out.write(0, 1)
+    return riff(_packed(out, *_write_body(out, argb, coded)))
+
+
+def _transformed(out: BitWriter, argb: np.ndarray, width: int, height: int) -> tuple[int, np.ndarray]:
+    """Writes the transform, if any; the width and pixels left to be coded."""
+    colours = np.unique(argb)
+    if len(colours) <= 256 and 4 * len(colours) < len(argb):
+        index = np.searchsorted(colours, argb).reshape(height, width)
+        packing = palette_bits(len(colours))
+        wide = ceil_shift(width, packing) << packing
+        index = np.pad(index, ((0, 0), (0, wide - width)))
+        packed = sum(index[:, k :: 1 << packing] << (k * (8 >> packing)) for k in range(1 << packing))
+        out.write(1, 1)
+        out.write(PALETTE, 2)
+        out.write(len(colours) - 1, 8)
+        write_pixels(out, _argb(np.diff(_channels(colours), axis=0, prepend=0) & 0xFF)[None, :], False)
+        return packed.shape[1], np.uint32(0xFF000000) | (packed.astype(np.uint32) << np.uint32(8)).ravel()
+    best, least = (0, 1, argb), _entropy(argb) * 0.98
+    bytes_ = np.ascontiguousarray(argb).view(np.uint8).reshape(height, width, 4)  # blue, green, red, alpha
+    less_green = bytes_.copy()
+    less_green[..., 0] -= bytes_[..., 1]
+    less_green[..., 2] -= bytes_[..., 1]
+    tried = [(1, SUBTRACT_GREEN, less_green)]
+    for mode in (1, 2):
+        residual = bytes_.copy()
+        residual[:, 1:] -= bytes_[:, :-1] if mode == 1 else 0
+        residual[1:] -= bytes_[:-1] if mode == 2 else 0
+        residual[1:, 0] -= bytes_[:-1, 0] if mode == 1 else 0
+        residual[0, 1:] -= bytes_[0, :-1] if mode == 2 else 0
+        residual[:1, :1, 3] += np.uint8(1)  # less 255, by 256
+        tried.append((mode, PREDICTOR, residual))
+    for mode, kind, x in tried:
+        x = x.view("<u4").ravel()
+        if (bits := _entropy(x)) < least:
+            best, least = (kind + 1, mode, x), bits
+    if best[0]:
+        out.write(1, 1)
+        out.write(best[0] - 1, 2)
+        if best[0] - 1 == PREDICTOR:
+            out.write(7, 3)
+            shape = (ceil_shift(height, 9), ceil_shift(width, 9))
+            write_pixels(out, np.full(shape, best[1] << 8 | 0xFF000000, np.uint32), False)
+    return width, best[2]
