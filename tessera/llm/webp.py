@@ -93,6 +93,21 @@ class Code:
 code_of = lru_cache(256)(Code)
 
 
+def read_codes(bits: Bits, alphabets: Sequence[int]) -> list[Code]:
+    """The codes of a group. Where the bits ahead are those of the code read last, for the same alphabet, it is that code."""
+    out: list[Code] = []
+    whole, began, last, size = int.from_bytes(bits.data, "little"), 0, None, 0
+    for alphabet in alphabets:
+        if size and alphabet == last and (whole >> bits.at ^ whole >> began) & ((1 << size) - 1) == 0:
+            out.append(out[-1])
+            bits.at += size
+            continue
+        began, last = bits.at, alphabet
+        out.append(read_code(bits, alphabet))
+        size = bits.at - began
+    return out
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if bits.read(1):
@@ -108,29 +123,33 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         own[CODE_LENGTH_ORDER[i]] = bits.read(3)
     code = code_of(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    table, mask, windows, place, end = code.table, code.mask, bits.windows, bits.at, len(bits.windows)
     at, last = 0, 8
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if place >> 3 >= end:
+            raise ValueError("the stream has ended")
+        v = windows[place >> 3] >> (place & 7)
+        entry = table[v & mask]
+        n, s = entry & 15, entry >> 4
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
+            place += n
             continue
-        value, times = _repeat(bits, s, last)
+        value, least, extra = (last, 3, 2) if s == 16 else (0, 3, 3) if s == 17 else (0, 11, 7)
+        times = least + (v >> n & ((1 << extra) - 1))
+        place += n + extra
         if at + times > alphabet:
             raise ValueError("code lengths beyond the alphabet")
-        lengths[at : at + times] = [value] * times
+        if value:
+            lengths[at : at + times] = [value] * times
         at += times
+    bits.at = place
     return code_of(tuple(lengths))
 
 
-def _repeat(bits: Bits, s: int, last: int) -> tuple[int, int]:
-    if s == 16:
-        return last, 3 + bits.read(2)
-    return 0, 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-
-
 def read_extra(bits: Bits, prefix: int) -> int:
     """A length or distance from its prefix symbol and the extra bits."""
     if prefix < 4:
@@ -150,7 +169,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = (read_pixels(bits, ceil_shift(width, meta_bits), ceil_shift(height, meta_bits), False) >> 8) & 0xFFFF
         groups = int(meta.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
+    codes = [read_codes(bits, (280 + cache_size, 256, 256, 256, 40)) for _ in range(groups)]
     return _body(bits, width, width * height, cache_bits, codes, meta, meta_bits).reshape(height, width)
 
 
@@ -441,7 +460,7 @@ def huffman_lengths(counts: Sequence[int], most: int = 15) -> list[int]:
 
 
 def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
-    """Writes the code; returns each symbol's bits and their number."""
+    """Writes the code; returns each symbol's bits (a lone symbol has none)."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and max(used, default=0) < 256 and all(lengths[s] == 1 for s in used):
         used = used or [0]
@@ -485,9 +504,7 @@ def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
             value |= (codes[s] | extra << own[s]) << at
             at += own[s] + size
         out.write(value, at)
-    if len([n for n in lengths if n]) <= 1:
-        return [(0, 0)] * len(lengths)
-    return list(zip(canonical(lengths), lengths, strict=True))
+    return canonical(lengths) if len(used) > 1 else [0] * len(lengths)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -561,7 +578,9 @@ def write_pixels(out: BitWriter, argb: np.ndarray, main: bool, cache_bits: int =
             own[4][_prefix(rest[1])[0]] += 1
     codes = []
     for own in counts:
-        codes.append([write_code(out, huffman_lengths(c) if sum(1 for x in c if x) != 1 or max(i for i, x in enumerate(c) if x) < 256 else _two(c)) for c in own])
+        lengths = [huffman_lengths(c) if sum(1 for x in c if x) != 1 or max(i for i, x in enumerate(c) if x) < 256 else _two(c) for c in own]
+        sizes = [n if len(n) - n.count(0) > 1 else [0] * len(n) for n in lengths]
+        codes.append([list(zip(write_code(out, n), size, strict=True)) for n, size in zip(lengths, sizes, strict=True)])
     for at, kind, *rest in tokens:
         own = codes[group_of(at)]
         if kind == "literal":
@@ -630,9 +649,11 @@ def encode(rgba: np.ndarray, transforms: Sequence[tuple] = (), cache_bits: int =
 
 
 #: Longest prefix code that ``encode_column`` uses, and bits of its colour cache.
-LONGEST = 12
+LONGEST = 10
 CACHE_BITS = 8
 LONGEST_COPY = 4096
+#: Pixels by which a transform is chosen.
+LOOK = 1024
 _NEAR_CODES: dict[int, dict[int, int]] = {}
 
 
@@ -641,9 +662,9 @@ _CHANNEL = np.arange(4) * 256
 
 def _entropy(argb: np.ndarray) -> float:
     """Bits of the four channels, each with a code of its own."""
-    c = np.bincount((argb.view(np.uint8).reshape(-1, 4) + _CHANNEL).ravel(), minlength=1)
+    c = np.bincount((np.ascontiguousarray(argb).view(np.uint8).reshape(-1, 4) + _CHANNEL).ravel(), minlength=1)
     c = c[c > 0]
-    return float((c * np.log2(len(argb) / c)).sum())
+    return float((c * np.log2(argb.size / c)).sum())
 
 
 def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
@@ -674,7 +695,7 @@ def _copies(argb: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _hits(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Which pixels the colour cache holds when they come, and all pixels' slots."""
-    slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    slot = ((argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
     order = np.argsort(slot, kind="stable")
     hit = np.zeros(len(argb), bool)
     hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
@@ -688,8 +709,10 @@ def _code_of(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         lengths = _two(found)
     else:
         lengths = huffman_lengths(found, LONGEST)
-    pairs = np.array(write_code(out, lengths), np.uint64)
-    return pairs[:, 0], pairs[:, 1].astype(np.int64)
+    codes = write_code(out, lengths)
+    alone = np.count_nonzero(lengths) <= 1
+    sizes = np.zeros(len(lengths), np.int64) if alone else np.array(lengths, np.int64)
+    return np.array(codes, np.uint64), sizes
 
 
 def _write_body(out: BitWriter, argb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -785,7 +808,8 @@ def encode_column(data: bytes, width: int) -> bytes:
 
 def _transformed(out: BitWriter, argb: np.ndarray, width: int, height: int) -> tuple[int, np.ndarray]:
     """Writes the transform, if any; the width and pixels left to be coded."""
-    colours = np.unique(argb)
+    colours = np.unique(argb[:LOOK])
+    colours = np.unique(argb) if len(colours) <= 256 and len(argb) > LOOK else colours
     if len(colours) <= 256 and 4 * len(colours) < len(argb):
         index = np.searchsorted(colours, argb).reshape(height, width)
         packing = palette_bits(len(colours))
@@ -797,29 +821,37 @@ def _transformed(out: BitWriter, argb: np.ndarray, width: int, height: int) -> t
         out.write(len(colours) - 1, 8)
         write_pixels(out, _argb(np.diff(_channels(colours), axis=0, prepend=0) & 0xFF)[None, :], False)
         return packed.shape[1], np.uint32(0xFF000000) | (packed.astype(np.uint32) << np.uint32(8)).ravel()
-    best, least = (0, 1, argb), _entropy(argb) * 0.98
-    bytes_ = np.ascontiguousarray(argb).view(np.uint8).reshape(height, width, 4)  # blue, green, red, alpha
-    less_green = bytes_.copy()
-    less_green[..., 0] -= bytes_[..., 1]
-    less_green[..., 2] -= bytes_[..., 1]
-    tried = [(1, SUBTRACT_GREEN, less_green)]
-    for mode in (1, 2):
-        residual = bytes_.copy()
-        residual[:, 1:] -= bytes_[:, :-1] if mode == 1 else 0
-        residual[1:] -= bytes_[:-1] if mode == 2 else 0
-        residual[1:, 0] -= bytes_[:-1, 0] if mode == 1 else 0
-        residual[0, 1:] -= bytes_[0, :-1] if mode == 2 else 0
-        residual[:1, :1, 3] += np.uint8(1)  # less 255, by 256
-        tried.append((mode, PREDICTOR, residual))
-    for mode, kind, x in tried:
-        x = x.view("<u4").ravel()
-        if (bits := _entropy(x)) < least:
-            best, least = (kind + 1, mode, x), bits
-    if best[0]:
-        out.write(1, 1)
-        out.write(best[0] - 1, 2)
-        if best[0] - 1 == PREDICTOR:
-            out.write(7, 3)
-            shape = (ceil_shift(height, 9), ceil_shift(width, 9))
-            write_pixels(out, np.full(shape, best[1] << 8 | 0xFF000000, np.uint32), False)
-    return width, best[2]
+    pixels = np.ascontiguousarray(argb).reshape(height, width)
+    some = pixels[: -(-LOOK // width)]
+    best, least = (None, 0), _entropy(some) * 0.98
+    for kind, mode in ((SUBTRACT_GREEN, 0), (PREDICTOR, 1), (PREDICTOR, 2)):
+        if (bits := _entropy(_residual(some, kind, mode))) < least:
+            best, least = (kind, mode), bits
+    kind, mode = best
+    if kind is None:
+        return width, argb
+    out.write(1, 1)
+    out.write(kind, 2)
+    if kind == PREDICTOR:
+        out.write(7, 3)
+        shape = (ceil_shift(height, 9), ceil_shift(width, 9))
+        write_pixels(out, np.full(shape, mode << 8 | 0xFF000000, np.uint32), False)
+    return width, _residual(pixels, kind, mode).ravel()
+
+
+def _residual(pixels: np.ndarray, kind: int, mode: int) -> np.ndarray:
+    """What is left of pixels (height, width) less green, or less their left (1) or top (2) neighbours."""
+    own = pixels.view(np.uint8).reshape(*pixels.shape, 4)  # blue, green, red, alpha
+    out = own.copy()
+    if kind == SUBTRACT_GREEN:
+        out[..., 0] -= own[..., 1]
+        out[..., 2] -= own[..., 1]
+    else:
+        if mode == 1:
+            out[:, 1:] -= own[:, :-1]
+            out[1:, 0] -= own[:-1, 0]
+        else:
+            out[1:] -= own[:-1]
+            out[0, 1:] -= own[0, :-1]
+        out[:1, :1, 3] += np.uint8(1)  # less 255, by 256
+    return out.view("<u4").reshape(pixels.shape)
