@@ -197,15 +197,49 @@ def rows_frame(spark, model: Model, rows: Sequence[dict[str, Any]]) -> DataFrame
     return spark.createDataFrame([tuple(r[n] for n in schema.names) for r in rows], schema)
 
 
-def with_increments(table: DataFrame, new: DataFrame, model: Model) -> DataFrame:
-    """Numbers behind the largest so far for increment fields without a value; unique, not without gaps."""
-    for f in model.stored:
-        if isinstance(f, Field) and f.auto == "increment":
-            largest = table.agg(F.max(f.col)).first()[0] or 0
-            new = new.withColumn(f.col, F.coalesce(F.col(f.col), (F.monotonically_increasing_id() + largest + 1).cast(f.spark_type)))
+def with_increments(table: DataFrame, new: DataFrame, model: Model, settle: bool = True) -> DataFrame:
+    """Numbers behind the largest so far for increment fields without a value: one after the other over the partitions, from
+    their counts of rows. The rows are written out first (to spark.checkpoint.dir), so that a number stays its row's."""
+    fields = [f for f in model.stored if isinstance(f, Field) and f.auto == "increment"]
+    if not fields:
+        return new
+    if settle and new.sparkSession.sparkContext.getCheckpointDir():
+        new = new.checkpoint()
+    partition, low = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    before, total = {}, 0
+    for p, n in sorted((r.p, r["count"]) for r in new.groupBy(partition.alias("p")).count().collect()):  # one row for each partition
+        before[p], total = total, total + n
+    first = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[partition] if before else F.lit(0)
+    for f in fields:
+        largest = max(table.agg(F.max(f.col)).first()[0] or 0, new.agg(F.max(f.col)).first()[0] or 0)
+        new = new.withColumn(f.col, F.coalesce(F.col(f.col), (low + first + largest + 1).cast(f.spark_type)))
     return new
 
 
+def completed(model: Model, rows: DataFrame) -> DataFrame:
+    """Stored columns of new rows: ids, versions and defaults where the frame has no such column, and every value checked."""
+    have, out = set(rows.columns), []
+    by_column = {f.col: f for f in model.stored if isinstance(f, Field)}
+    for name, kind, _ in model.columns():
+        f = by_column.get(name)
+        if name in have:
+            value = F.col(name)
+        elif f is not None and f.auto in ("uuid4", "uuid7"):
+            # The time in front makes a uuid7; the rest is a uuid4's.
+            stamp = F.lpad(F.hex(F.unix_millis(F.current_timestamp())), 12, "0")
+            front = F.lower(F.concat(F.substring(stamp, 1, 8), F.lit("-"), F.substring(stamp, 9, 4), F.lit("-7")))
+            value = F.uuid() if f.auto == "uuid4" else F.concat(front, F.substring(F.uuid(), 16, 21))
+        elif f is not None and f.versioned:
+            value = F.lit(1)
+        elif f is not None and (f.default is not None or f.update is not None):
+            value = F.lit(value_of(f.default if f.default is not None else f.update))
+        else:
+            value = F.lit(None)
+        value = value.cast(kind)
+        out.append((checked(model, f, value) if f is not None and f.auto != "increment" else value).alias(name))
+    return rows.select(*out)
+
+
 def checked(model: Model, f: Field, c: Column) -> Column:
     """A new value that raises where it breaks the field's constraints."""
     tests = [c.isNotNull()] if not f.nullable else []

@@ -17,13 +17,16 @@ AT_ONCE = 4
 
 
 def batch(db, statements: Sequence[Query | DataFrame | Callable[[], Any]]) -> list[Any]:
-    """Queries give rows; callables are writes, run in order before the queries, in a transaction."""
+    """Queries give rows; callables are writes, run in a transaction. Each sees the writes before it in the given order and
+    none behind it: a query's tables are snapshots, taken at its turn."""
     out: list[Any] = [None] * len(statements)
+    frames: dict[int, DataFrame] = {}
     with db.transaction():
         for i, s in enumerate(statements):
             if callable(s):
                 out[i] = s()
-    frames = {i: s.frame() if isinstance(s, Query) else s for i, s in enumerate(statements) if not callable(s)}
+            else:
+                frames[i] = s.frame() if isinstance(s, Query) else s
     with ThreadPoolExecutor(AT_ONCE) as pool:
         for i, rows in zip(frames, pool.map(lambda df: df.collect(), frames.values()), strict=True):
             out[i] = rows

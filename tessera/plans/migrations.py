@@ -56,10 +56,7 @@ def plan(folder: str) -> list[tuple[str, Diff, list[str]]]:
 
 def apply(db, folder: str) -> list[str]:
     """Applies the steps that the database hasn't seen, in order, in one transaction; returns their ids."""
-    try:
-        applied = [r.id for r in db._raw(HISTORY).collect()]
-    except InvalidStatement:
-        applied = []
+    applied = [r.id for r in db._raw(HISTORY).orderBy("id").collect()] if db.has_table(HISTORY) else []
     todo = plan(folder)
     if applied != [key for key, _, _ in todo[: len(applied)]]:
         raise InvalidStatement("the database has seen other migrations than the folder has")

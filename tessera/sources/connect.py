@@ -31,3 +31,27 @@ def loader(spark: SparkSession, url: str) -> Callable[[str], DataFrame]:
     if scheme == "dynamodb":
         raise UnsupportedFeature("dynamodb has no Spark source here; export its tables to Parquet")
     raise UnsupportedFeature(f"unknown scheme {scheme!r}")
+
+
+def finder(spark: SparkSession, url: str) -> Callable[[str], bool]:
+    """A function that tells whether there is a table of the name. A folder or file that can't be read is there."""
+    scheme = urlsplit(url).scheme
+    jvm = spark.sparkContext._jvm
+    if scheme in FILE_SCHEMES:
+        base = url.removeprefix("parquet://").removeprefix("parquet:").rstrip("/")
+
+        def stored(table: str) -> bool:
+            path = jvm.org.apache.hadoop.fs.Path(f"{base}/{table}.parquet")
+            return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+        return stored
+
+    def listed(table: str) -> bool:
+        target = "sqlite:" + url.split("://", 1)[1] if scheme in ("sqlite", "turso") else url.replace("postgres://", "postgresql://")
+        connection = jvm.java.sql.DriverManager.getConnection(f"jdbc:{target}")
+        try:
+            return connection.getMetaData().getTables(None, None, table, None).next()
+        finally:
+            connection.close()
+
+    return listed

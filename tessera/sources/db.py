@@ -21,7 +21,7 @@ from tessera.model import BelongsTo, HasMany, HasOne, Model, Registry, Relation,
 from tessera.operators import mutate
 from tessera.operators.predicates import with_predicate
 from tessera.query import Query
-from tessera.sources.connect import loader
+from tessera.sources.connect import finder, loader
 
 ISOLATION = ("read_uncommitted", "read_committed", "repeatable_read", "serializable")
 HIT = "__hit"
@@ -32,6 +32,7 @@ class Db:
     def __init__(self, spark: SparkSession, registry: Registry, url: str | None = None, tables: dict[str, DataFrame] | None = None, slow_seconds: float | None = None):
         self.spark, self.registry, self.url, self.slow_seconds = spark, registry, url, slow_seconds
         self._load = loader(spark, url) if url else None
+        self._stored = finder(spark, url) if url else None
         self._base: dict[str, DataFrame] = dict(tables or {})
         self._layers: list[dict[str, DataFrame]] = [{}]
         self._read_only = False
@@ -66,12 +67,14 @@ class Db:
             if name not in have or have[name].simpleString() != kind.simpleString():
                 raise InvalidStatement(f"{model.table}.{name}: {have.get(name)} is stored, {kind} declared")
 
+    def has_table(self, name: str) -> bool:
+        """Whether there is such a table; one that can't be read is there."""
+        return any(name in layer for layer in self._layers) or name in self._base or (self._stored is not None and self._stored(name))
+
     def push_schema(self) -> None:
         """Empty tables for all models that have none."""
         for m in self.registry.models.values():
-            try:
-                self._raw(m.table)
-            except Exception:
+            if not self.has_table(m.table):
                 self._put(m, self.spark.createDataFrame([], m.schema()))
 
     def reset(self) -> None:
@@ -141,7 +144,7 @@ class Db:
     def sql(self, text: str, args: Sequence[Any] | dict[str, Any] | None = None, column_types: dict[str, str] | None = None) -> DataFrame:
         """A query in Spark SQL over the tables by name, with bound values."""
         for m in self.registry.models.values():
-            with contextlib.suppress(Exception):
+            if self.has_table(m.table):
                 self._raw(m.table).createOrReplaceTempView(m.table)
         df = self.spark.sql(text, args=list(args) if isinstance(args, tuple | list) else args)
         return df.select(*[F.col(c).cast(column_types[c]) if column_types and c in column_types else F.col(c) for c in df.columns])
@@ -157,7 +160,11 @@ class Db:
         return self.create_many(model, [values])[0]
 
     def create_many(self, model: Model | str, rows: Sequence[dict[str, Any]], check: bool = True) -> list[Row]:
-        model = self.registry[model] if isinstance(model, str) else model
+        """Rows and what is under their relations: all of them or, after an error, none."""
+        with self.transaction():
+            return self._create_many(self.registry[model] if isinstance(model, str) else model, rows, check)
+
+    def _create_many(self, model: Model, rows: Sequence[dict[str, Any]], check: bool) -> list[Row]:
         rows = [dict(r) for r in rows]
         for row in rows:
             for r in model.relations:
@@ -175,7 +182,7 @@ class Db:
                 if isinstance(r, HasOne) and r.required and row.get(r.name) is None:
                     raise InvalidStatement(f"{model.name}.{r.name} is required")
         table = self.table(model)
-        new = mutate.with_increments(table, mutate.rows_frame(self.spark, model, [mutate.encode(model, r) for r in plain]), model)
+        new = mutate.with_increments(table, mutate.rows_frame(self.spark, model, [mutate.encode(model, r) for r in plain]), model, settle=False)
         made = new.collect()  # what was given, with ids
         new = self.spark.createDataFrame(made, new.schema)
         if check:
@@ -192,12 +199,11 @@ class Db:
         return self._decoded(model, new)
 
     def insert_frame(self, model: Model | str, rows: DataFrame, check: bool = True) -> DataFrame:
-        """Rows from a frame of stored columns; the new table."""
+        """Rows from a frame of stored columns; the new table. Columns that it lacks get what ``create`` gives them, and
+        values are held to their fields' constraints."""
         model = self.registry[model] if isinstance(model, str) else model
         table = self.table(model)
-        have = set(rows.columns)
-        full = rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t, _ in model.columns()])
-        full = mutate.with_increments(table, full, model)
+        full = mutate.with_increments(table, mutate.completed(model, rows), model)
         if check:
             mutate.check_unique(table, full, model)
         self._put(model, table.unionByName(full))
@@ -443,7 +449,9 @@ class Db:
                 raise SerializationFailure(f"{name} has changed since it was read")
 
     def commit(self, directory: str) -> list[str]:
-        """Writes all changed tables under ``directory`` beside the old ones, then swaps them in. Returns their names."""
+        """Writes all changed tables under ``directory`` beside the old ones, then swaps them in. Returns their names. If a
+        swap fails, those before it are undone; the staging folder goes only when it holds no table that is in its place
+        no more."""
         if len(self._layers) > 1:
             raise InvalidStatement("a transaction is open")
         changed = self.changes()
@@ -455,20 +463,34 @@ class Db:
             for name, df in changed.items():
                 df.write.parquet(f"{stage}/{name}.parquet")
             self._check_unchanged(directory)
-            for name in changed:
-                _, new = self._fs(f"{stage}/{name}.parquet")
-                _, target = self._fs(f"{directory}/{name}.parquet")
-                _, old = self._fs(f"{stage}/{name}.old")
-                if fs.exists(target):
-                    fs.rename(target, old)
-                fs.rename(new, target)
-        finally:
+        except BaseException:
             fs.delete(stage_path, True)
+            raise
+        places = {name: [self._fs(path)[1] for path in (f"{stage}/{name}.parquet", f"{directory}/{name}.parquet", f"{stage}/{name}.old")] for name in changed}
+        moved: list[tuple[Any, Any]] = []
+        try:
+            for new, target, old in places.values():
+                for a, b in ([(target, old)] if fs.exists(target) else []) + [(new, target)]:
+                    self._move(fs, a, b)
+                    moved.append((a, b))
+        except BaseException as error:
+            try:
+                for a, b in reversed(moved):
+                    self._move(fs, b, a)
+            except Exception as second:
+                raise SerializationFailure(f"tables are half swapped; what was stored is under {stage}") from second
+            fs.delete(stage_path, True)
+            raise error
+        fs.delete(stage_path, True)
         for name in changed:
             self._base[name] = self.spark.read.parquet(f"{directory}/{name}.parquet")
         self._layers = [{}]
         return sorted(changed)
 
+    def _move(self, fs, a, b) -> None:
+        if not fs.rename(a, b):
+            raise SerializationFailure(f"{a} can't be moved to {b}")
+
 
 class _Frame:
     """A frame in a subquery's place."""

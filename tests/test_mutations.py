@@ -255,6 +255,94 @@ def test_failed_commit_leaves_what_was(spark, tmp_path):
     assert Db(spark, registry(), d).all("User").count() == 1
 
 
+@pytest.mark.parametrize("fails", range(1, 5))
+def test_failed_swap_is_undone(spark, tmp_path, monkeypatch, fails):
+    """Whichever rename fails, both tables are as before."""
+    d = str(tmp_path / "store")
+    db = Db(spark, registry(), tables={})
+    db.push_schema()
+    db.create("User", email="a@x")
+    db.commit(d)
+    db.all("User").update(n=7)
+    db._layers[-1]["items"] = db.table("Item")
+    calls, move = [], Db._move
+
+    def failing(self, fs, a, b):
+        calls.append(a)
+        if len(calls) == fails:
+            raise SerializationFailure("no")
+        move(self, fs, a, b)
+
+    monkeypatch.setattr(Db, "_move", failing)
+    with pytest.raises(SerializationFailure, match="no"):
+        db.commit(d)
+    again = Db(spark, registry(), d)
+    assert again.all("User").one().n == 0 and again.all("Item").count() == 0
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith(".staging")]
+
+
+def test_unreadable_table_is_not_replaced(spark, tmp_path):
+    d = tmp_path / "store"
+    (d / "users.parquet").mkdir(parents=True)
+    (d / "users.parquet" / "part-0.parquet").write_bytes(b"no parquet at all")
+    db = Db(spark, registry(), str(d))
+    db.push_schema()
+    assert "users" not in db.changes() and "items" in db.changes()
+    with pytest.raises(Exception, match="(?i)parquet|schema"):
+        db.sql("SELECT 1")
+    assert (d / "users.parquet" / "part-0.parquet").read_bytes() == b"no parquet at all"
+
+
+def test_frames_are_held_to_the_model(db, spark):
+    frame = spark.createDataFrame([("a@x", 3), ("b@x", 4)], "email string, n long")
+    db.insert_frame("User", frame)
+    rows = db.all("User").rows().collect()
+    assert {r.role for r in rows} == {"member"} and {r.touched for r in rows} == {"now"} and len({r.id for r in rows}) == 2 and all(len(r.id) == 36 and r.id[14] == "7" for r in rows)
+    db.insert_frame("Item", spark.createDataFrame([(1, "t", "s", "n")], "id long, tenant string, slug string, name string"))
+    assert db.all("Item").one().version == 1
+    for bad in ([(None, 1)], [("x" * 21, 1)]):
+        with pytest.raises(Exception, match="not valid"):
+            db.insert_frame("User", spark.createDataFrame(bad, "email string, n long")).collect()
+
+
+def test_increments_over_partitions(spark):
+    reg = Registry(Model("A", "a", (Field("id", "i32", auto="increment"), Field("x", "i64")), ("id",)))
+    db = Db(spark, reg, tables={})
+    db.reset()
+    db.create("A", x=1)
+    table = db.insert_frame("A", spark.range(0, 100, 1, 5).withColumnRenamed("id", "x"))
+    first = {r.x: r.id for r in table.collect()}
+    assert sorted(r.id for r in table.collect()) == list(range(1, 102)) and first == {r.x: r.id for r in db.all("A").rows().collect()}
+
+
+def test_nested_create_is_all_or_nothing(db):
+    with pytest.raises(ValidationFailed):
+        db.create("User", email="a@x", todos=[{"title": "fine"}, {"title": None}])
+    assert db.all("User").count() == 0 and db.all("Todo").count() == 0
+
+
+def test_batch_keeps_the_order(db):
+    before, _, after = batches.batch(db, [db.all("User"), lambda: db.create("User", email="a@x"), db.all("User")])
+    assert len(before) == 0 and len(after) == 1
+
+
+def test_migrations_of_a_directory(spark, tmp_path):
+    folder, d = str(tmp_path / "steps"), str(tmp_path / "store")
+    one = Registry(Model("A", "a", (Field("id", "i64"), Field("x", "i32")), ("id",)))
+    migrations.generate(one, folder, "start")
+    db = Db(spark, one, d)
+    assert migrations.apply(db, folder) == ["0001_start"]
+    db.create("A", id=1, x=5)
+    db.commit(d)
+    two = Registry(Model("A", "a", (Field("id", "i64"), Field("x", "i32"), Field("w", "bool", nullable=True)), ("id",)))
+    migrations.generate(two, folder, "wider")
+    later = Db(spark, two, d)
+    assert migrations.apply(later, folder) == ["0002_wider"]
+    later.commit(d)
+    last = Db(spark, two, d)
+    assert migrations.apply(last, folder) == [] and tuple(last.all("A").one()) == (1, 5, None)
+
+
 def test_schema_check_and_push(spark):
     db = Db(spark, registry(), tables={"users": spark.createDataFrame([(1,)], "id long")})
     with pytest.raises(InvalidStatement):
