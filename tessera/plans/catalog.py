@@ -172,12 +172,12 @@ def let_binding(t):
     return t.all("Order").select(t.Order.orderkey, scalars.let(t.Order.custkey.value() % 7, lambda x: x * x + x).alias("y"))
 
 
-@query("SELECT o_orderkey AS orderkey, o_custkey::VARCHAR AS text, o_custkey::DOUBLE AS float FROM orders WHERE o_orderkey < 1000")
+@query("SELECT o_orderkey AS orderkey, o_custkey::VARCHAR AS text, o_custkey::DOUBLE AS float FROM orders")
 def cast_values(t):
     from tessera.functions.types import cast
 
     c = t.Order.custkey.value()
-    return t.all("Order").filter(t.Order.orderkey.lt(1000)).select(t.Order.orderkey, cast(c, "string").alias("text"), cast(c, "f64").alias("float"))
+    return t.all("Order").select(t.Order.orderkey, cast(c, "string").alias("text"), cast(c, "f64").alias("float"))
 
 
 # Predicates.
