@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessera.llm import html, shards, simhash, toxicity
@@ -137,6 +138,27 @@ def test_shards_of_many_buckets(spark):
     assert order != sorted(order)
 
 
+def test_hot_rows_are_spread(spark):
+    """A row that repeats many times over a bucket's size: no partition holds them all, slots have no gap."""
+    rows = [(7, "the same text")] * 4000 + [(i, f"text {i}") for i in range(100, 600)] + [(8, "long " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = shards.shuffled_shards(df, bucket_bytes=2000)
+    held = [r["count"] for r in out.where("doc_id = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(held) == 4000 and max(held) < 1000
+    by = defaultdict(list)
+    for r in out.collect():
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    rows = [(i, f"text {i} " * 10) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((r.doc_id, r.shard, r.slot, r.text) for r in shards.shuffled_shards(df, bucket_bytes=1000).collect())
+    monkeypatch.setattr(shards, "MOST_PARTITIONS", 5)
+    assert sorted((r.doc_id, r.shard, r.slot, r.text) for r in shards.shuffled_shards(df, bucket_bytes=1000).collect()) == want
+
+
 def test_shard_edge_rows(spark):
     df = spark.createDataFrame([(None, None), (None, "x"), (1, ""), (1, "")], "doc_id long, text string")
     got = shards.shuffled_shards(df).collect()
@@ -420,6 +442,34 @@ def test_scores_of_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), model).collect() == []
 
 
+def plain_score(text, weights, bias):
+    """One character after the other, one n-gram after the other."""
+    import math
+
+    chars, found, low = f" {(text or '').lower()} " if text else "", set(), (1 << 32) - 1
+    for i in range(len(chars)):
+        h = 0
+        for n, c in enumerate(chars[i : i + 5], 1):
+            h = (h + ord(c) + 1) * 0x9E3779B1 & low
+            h ^= h >> 15
+            if n >= 4:
+                found.add((h * 0x85EBCA6B & low) >> 12)
+    z = sum(float(weights[i]) for i in found) + bias
+    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    weights, bias = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.op6_toxicity(spark, sf_dir).collect():
+        assert abs(r.score - plain_score(texts[r.doc_id], weights, bias)) < 1e-6
+    odd = ["\U0001f600" * 10, "abc", "x", "", None, "word " * 200_000]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in toxicity.scored(df, (weights, bias)).collect():
+        assert abs(r.score - plain_score(odd[r.doc_id], weights, bias)) < 1e-6
+
+
 def test_documents_scores(spark, sf_dir):
     rows = toxicity.op6_toxicity(spark, sf_dir).collect()
     assert all(r.predicted == int(r.score >= 0.7) for r in rows) and len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
