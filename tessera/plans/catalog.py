@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.errors import ValidationFailed
 from tessera.expr import And, Or, Path, and_all, computed, in_query, or_all
 from tessera.functions import scalars
 from tessera.operators import mutate
@@ -111,6 +114,11 @@ def raw_sql_params(t):
     return t.db.sql("SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_totalprice > ? AND o_orderstatus = ? GROUP BY 1", [100000, "F"])
 
 
+@query("SELECT n_name AS nation, r_name AS region FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+def raw_sql_comma_join(t):
+    return t.db.sql("SELECT n_name AS nation, r_name AS region FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> ?", ["ASIA"])
+
+
 @query("SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders WHERE o_custkey = 4")
 def raw_sql_named(t):
     return t.db.sql("SELECT o_orderkey AS orderkey, o_totalprice AS price FROM orders WHERE o_custkey = :c", {"c": 4}, {"orderkey": "bigint"})
@@ -669,6 +677,19 @@ def array_remove_at(t):
     return tagged(t).select("custkey", F.array_join(scalars.remove_at(F.col("tags"), 1), ",").alias("tags"))
 
 
+@query(f"SELECT custkey, len(tags) AS before, 0 AS after FROM ({TAGS})")
+def array_clear(t):
+    return tagged(t).select("custkey", F.size("tags").alias("before"), F.size(scalars.clear(F.col("tags"))).alias("after"))
+
+
+@query("SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nationkey FROM customer")
+def json_round_trip(t):
+    """A record written as JSON and read back."""
+    kind = T.StructType([T.StructField("name", T.StringType()), T.StructField("nationkey", T.IntegerType())])
+    rows = t.db.table("Customer").select(F.col("c_custkey").alias("custkey"), scalars.json_encode(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"))).alias("text"))
+    return rows.select("custkey", scalars.json_decode(F.col("text"), kind).alias("d")).select("custkey", "d.name", "d.nationkey")
+
+
 @query(f"SELECT custkey, array_to_string(list_append(tags[1:len(tags) - 1], 'x'), ',') AS tags, 0 AS cleared FROM ({TAGS})")
 def array_apply(t):
     c = F.col("tags")
@@ -732,6 +753,15 @@ def insert_rows(t):
     return t.db.table("Nation")
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT * FROM (VALUES (900001, 'ONE', 500, 1.5), (900002, 'TWO', 500, -2.0))", models.mutable)
+def create_nested(t):
+    """A nation with its suppliers, all of them or none."""
+    t.db.create("Nation", nationkey=500, name="ATLANTIS", regionkey=1, suppliers=[{"suppkey": 900_001, "name": "ONE", "acctbal": 1.5}, {"suppkey": 900_002, "name": "TWO", "acctbal": -2.0}])
+    with contextlib.suppress(ValidationFailed):
+        t.db.create("Nation", nationkey=501, name="LEMURIA", regionkey=1, suppliers=[{"suppkey": 900_003, "name": "THREE", "acctbal": 0.0}, {"suppkey": 900_004, "name": None, "acctbal": 0.0}])
+    return t.db.table("Supplier")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 1000, 'NEW ' || n_name, n_regionkey FROM nation WHERE n_regionkey = 0", models.mutable)
 def insert_from_query(t):
     rows = t.db.filter("Nation", t.Nation.regionkey.eq(0)).rows()
