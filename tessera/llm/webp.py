@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -35,14 +35,32 @@ def ceil_shift(x: int, bits: int) -> int:
     return (x + (1 << bits) - 1) >> bits
 
 
-def canonical(lengths: Sequence[int]) -> list[int]:
+def _reversals(most: int) -> list[np.ndarray]:
+    """For each n, every n-bit number with its bits reversed."""
+    out = [np.zeros(1, np.int64)]
+    for _ in range(most):
+        out.append(np.concatenate([out[-1] * 2, out[-1] * 2 + 1]))
+    return out
+
+
+LONGEST_CODE = 15
+_REVERSED = _reversals(LONGEST_CODE)
+
+
+def _in_order(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that have codes, by length, then symbol, and their lengths."""
+    all_lengths = np.frombuffer(lengths, np.uint8)
+    used = np.flatnonzero(all_lengths)
+    used = used[np.argsort(all_lengths[used], kind="stable")]
+    return used, all_lengths[used].astype(np.int64)
+
+
+def canonical(lengths: Sequence[int]) -> np.ndarray:
     """Each symbol's code with its first bit lowest, as the stream has it; codes go by length, then symbol."""
-    codes, code, last = [0] * len(lengths), 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        last = n
-        codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
+    used, own = _in_order(bytes(lengths))
+    span = 1 << (LONGEST_CODE - own)
+    codes = np.zeros(len(lengths), np.int64)
+    codes[used] = _REVERSED[LONGEST_CODE][np.cumsum(span) - span & (1 << LONGEST_CODE) - 1]
     return codes
 
 
@@ -51,9 +69,8 @@ class Bits:
 
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
-        padded = np.frombuffer(data + bytes(16), np.uint8)
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        self.windows = np.ascontiguousarray(words).view("<u8").ravel().tolist()  # 64 bits from every byte on
+        self.words = np.ndarray(len(data) + 9, "<u8", data + bytes(16), strides=(1,)).copy()  # 64 bits from every byte on
+        self.windows = self.words.tolist()
 
     def peek(self) -> int:
         """The next 57 bits or more."""
@@ -70,19 +87,20 @@ class Bits:
 class Code:
     """A prefix code as a table: the next bits to symbol << 4 | length."""
 
-    def __init__(self, lengths: Sequence[int]):
-        self.lengths = tuple(lengths)
-        used = [s for s, n in enumerate(lengths) if n]
+    def __init__(self, lengths: bytes):
+        used, own = _in_order(lengths)
         if len(used) <= 1:
-            self.mask, self.table = 0, [(used[0] if used else 0) << 4]
-            return
-        most = max(lengths)
-        if sum(1 << (most - lengths[s]) for s in used) != 1 << most:
-            raise ValueError("a prefix code is not complete")
-        self.mask, self.table = (1 << most) - 1, [0] * (1 << most)
-        codes = canonical(lengths)
-        for s in used:
-            self.table[codes[s] :: 1 << lengths[s]] = [s << 4 | lengths[s]] * (1 << (most - lengths[s]))
+            self.mask, self.entries = 0, np.array([int(used[0]) << 4 if len(used) else 0])
+        else:
+            most = int(own[-1])
+            span = 1 << (most - own)
+            if span.sum() != 1 << most:
+                raise ValueError("a prefix code is not complete")
+            self.mask, self.entries = (1 << most) - 1, np.repeat(used << 4 | own, span)[_REVERSED[most]]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, bits: Bits) -> int:
         entry = self.table[bits.peek() & self.mask]
@@ -109,7 +127,7 @@ def read_codes(bits: Bits, alphabets: Sequence[int]) -> list[Code]:
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
+    lengths = bytearray(alphabet)
     if bits.read(1):
         symbols, wide = bits.read(1) + 1, bits.read(1)
         found = [bits.read(8 if wide or k else 1) for k in range(symbols)]
@@ -117,11 +135,11 @@ def read_code(bits: Bits, alphabet: int) -> Code:
             raise ValueError("a symbol outside its alphabet")
         for s in found:
             lengths[s] = 1
-        return code_of(tuple(lengths))
-    own = [0] * 19
+        return code_of(bytes(lengths))
+    own = bytearray(19)
     for i in range(4 + bits.read(4)):
         own[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = code_of(tuple(own))
+    code = code_of(bytes(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     table, mask, windows, place, end = code.table, code.mask, bits.windows, bits.at, len(bits.windows)
     at, last = 0, 8
@@ -144,18 +162,30 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         if at + times > alphabet:
             raise ValueError("code lengths beyond the alphabet")
         if value:
-            lengths[at : at + times] = [value] * times
+            lengths[at : at + times] = bytes([value]) * times
         at += times
     bits.at = place
-    return code_of(tuple(lengths))
+    return code_of(bytes(lengths))
 
 
-def read_extra(bits: Bits, prefix: int) -> int:
-    """A length or distance from its prefix symbol and the extra bits."""
+def _extras(ahead: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_extra`` of many."""
+    n = np.maximum(prefix - 2 >> 1, 0)
+    return np.where(prefix < 4, prefix + 1, (2 + (prefix & 1) << n) + (ahead & (1 << n) - 1) + 1), n
+
+
+def _extra(ahead: int, prefix: int) -> tuple[int, int]:
+    """A length or distance from its prefix symbol and the bits ahead, and how many of these are its own."""
     if prefix < 4:
-        return prefix + 1
+        return prefix + 1, 0
     n = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
+    return ((2 + (prefix & 1)) << n) + (ahead & ((1 << n) - 1)) + 1, n
+
+
+def read_extra(bits: Bits, prefix: int) -> int:
+    value, n = _extra(bits.peek() if prefix >= 4 else 0, prefix)
+    bits.at += n
+    return value
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -170,7 +200,109 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [read_codes(bits, (280 + cache_size, 256, 256, 256, 40)) for _ in range(groups)]
-    return _body(bits, width, width * height, cache_bits, codes, meta, meta_bits).reshape(height, width)
+    out = _at_once(bits, width, width * height, cache_bits, codes[0]) if groups == 1 and width * height >= AT_ONCE else None
+    if out is None:
+        out = _body(bits, width, width * height, cache_bits, codes, meta, meta_bits)
+    return out.reshape(height, width)
+
+
+#: Images of fewer pixels are read pixel by pixel.
+AT_ONCE = 128
+#: Bytes of the stream that are looked at together.
+WINDOW = 1 << 10
+_WITHIN = np.arange(8, dtype=np.uint64)
+_NEAR = np.array(NEAR)
+
+
+def _at_once(bits: Bits, width: int, total: int, cache_bits: int, codes: list[Code]) -> np.ndarray | None:
+    """What ``_body`` gives for one group. At every bit of a window it is looked up where a symbol that began there would
+    end; following these ends finds the pixels' places, and array operations read them. A copied pixel points to its source,
+    one of the cache to the last pixel in its slot. None, with nothing read, where the cache is asked for what it was never
+    given: only pixel by pixel are the slots known then."""
+    green, red, blue, alpha, far = codes
+    began, end, at, i = bits.at, len(bits.words), bits.at, 0
+    parts: list[tuple[np.ndarray, ...]] = []  # of tokens: symbol, pixels, distance code; of literals: red, blue and alpha
+    while i < total:
+        base = at >> 3
+        if base >= end:
+            raise ValueError("the stream has ended")
+        size = min(WINDOW, end - base)
+        words = np.zeros(size + 8, np.uint64)
+        words[: min(size + 8, end - base)] = bits.words[base : base + size + 8]
+        ahead = (words[:, None] >> _WITHIN).view(np.int64).ravel()
+        place, last = np.arange(len(ahead)), len(ahead) - 1
+        found = {c: c.entries.take(ahead & c.mask) for c in {green, red, blue, alpha}}
+        after = {c: np.minimum(place + (found[c] & 15), last) for c in found}
+        symbol, behind = found[green] >> 4, after[green]
+        ends = after[alpha].take(after[blue].take(after[red].take(behind)))
+        other = np.flatnonzero(symbol >= 256)
+        ends[other] = behind[other]
+        steps, reach = np.ones(len(ahead), np.int64), np.zeros(len(ahead), np.int64)
+        other = other[symbol[other] < 280]
+        if len(other):
+            # 57 bits or more are ahead; what is left of a back-reference has 43 at most.
+            v = ahead[behind[other]]
+            steps[other], n = _extras(v, symbol[other] - 256)
+            v = v >> n
+            entry = far.entries.take(v & far.mask)
+            n += entry & 15
+            reach[other], more = _extras(v >> (entry & 15), entry >> 4)
+            ends[other] += n + more
+        follow, step, limit, p = memoryview(ends), memoryview(steps), size * 8, at - base * 8
+        places: list[int] = []
+        while i < total and p < limit:
+            places.append(p)
+            i += step[p]
+            p = follow[p]
+        at = base * 8 + p
+        own = np.array(places, np.int64)
+        first = behind[own[symbol[own] < 256]]
+        second = after[red][first]
+        third = after[blue][second]
+        rest = (found[alpha][third] >> 4) << 24 | (found[red][first] >> 4) << 16 | found[blue][second] >> 4
+        parts.append((symbol[own], steps[own], reach[own], rest))
+    tokens, steps, reach, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    starts = np.cumsum(steps) - steps
+    copies = np.flatnonzero(reach)
+    code = reach[copies]
+    x, y = _NEAR[np.minimum(code, len(NEAR)) - 1].T
+    distance = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, x + y * width))
+    if i > total or (distance > starts[copies]).any():
+        raise ValueError("a back-reference outside the image")
+    source = np.arange(total)
+    reach[copies] = distance
+    if len(copies):
+        source -= np.repeat(reach, steps)
+    symbol, values = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    literal = tokens < 256
+    symbol[starts] = tokens
+    values[starts[literal]] = rest | tokens[literal] << 8
+    hits = np.flatnonzero(symbol >= 280)
+    if len(hits):
+        if len(copies):
+            source = _roots(source)
+        slot = ((values.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slot[hits] = symbol[hits] - 280
+        slot = slot[source]
+        order = np.argsort(slot, kind="stable")
+        before = np.full(total, -1)
+        again = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        if (before[hits] < 0).any():
+            bits.at = began
+            return None
+        source[hits] = before[hits]
+    bits.at = at
+    return values[_roots(source)].astype(np.uint32)
+
+
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Where each place ends up when it is followed to a place that is its own source."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
 
 
 def _body(bits: Bits, width: int, total: int, cache_bits: int, codes: list, meta: np.ndarray | None, meta_bits: int) -> np.ndarray:
@@ -425,41 +557,52 @@ class BitWriter:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-def huffman_lengths(counts: Sequence[int], most: int = 15) -> list[int]:
+def huffman_lengths(counts: Sequence[int] | np.ndarray, most: int = 15) -> list[int]:
     """Code lengths of a complete prefix code; small counts are raised until none is longer than ``most``."""
-    ranked = sorted((c, s) for s, c in enumerate(counts) if c)
+    ranked = sorted([c << 16 | s for s, c in enumerate(counts) if c])
     lengths = [0] * len(counts)
-    if len(ranked) == 1:
-        lengths[ranked[0][1]] = 1
-    if len(ranked) < 2:
-        return lengths
     n, floor = len(ranked), 1
+    if n == 1:
+        lengths[ranked[0] & 0xFFFF] = 1
+    if n < 2:
+        return lengths
     while True:
-        # Leaves in order, then inner nodes as they are made: both ascend, so the two least are at their fronts.
-        weight = [max(c, floor) for c, _ in ranked]
-        parent = [0] * (2 * n - 1)
-        leaf, inner = 0, n
-        for node in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
-                    pick, leaf = leaf, leaf + 1
-                else:
-                    pick, inner = inner, inner + 1
-                total += weight[pick]
-                parent[pick] = node
-            weight.append(total)
-        depth = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth) <= most:
-            for (_, s), d in zip(ranked, depth, strict=False):
-                lengths[s] = d
+        # Leaves and the inner nodes as they are made both ascend, so the two least are at their fronts.
+        leaves = [max(x >> 16, floor) for x in ranked]
+        none = sum(leaves) + 1
+        leaves.append(none)
+        inner = [none] * n
+        over_leaf, over_inner = [0] * n, [0] * n
+        a = b = 0
+        for node in range(n - 1):
+            if leaves[a] <= inner[b]:
+                total = leaves[a]
+                over_leaf[a] = node
+                a += 1
+            else:
+                total = inner[b]
+                over_inner[b] = node
+                b += 1
+            if leaves[a] <= inner[b]:
+                total += leaves[a]
+                over_leaf[a] = node
+                a += 1
+            else:
+                total += inner[b]
+                over_inner[b] = node
+                b += 1
+            inner[node] = total
+        depth = [1] * n
+        for node in range(n - 3, -1, -1):
+            depth[node] = depth[over_inner[node]] + 1
+        if depth[over_leaf[0]] <= most:
+            for x, node in zip(ranked, over_leaf, strict=True):
+                lengths[x & 0xFFFF] = depth[node]
             return lengths
         floor *= 2
 
 
-def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
+def write_code(out: BitWriter, lengths: Sequence[int]) -> np.ndarray:
     """Writes the code; returns each symbol's bits (a lone symbol has none)."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and max(used, default=0) < 256 and all(lengths[s] == 1 for s in used):
@@ -499,12 +642,12 @@ def write_code(out: BitWriter, lengths: Sequence[int]) -> list[tuple[int, int]]:
             value |= own[s] << at
             at += 3
         at += 1  # all lengths are given
-        codes = canonical(own)
+        codes = canonical(own).tolist()
         for s, extra, size in tokens:
             value |= (codes[s] | extra << own[s]) << at
             at += own[s] + size
         out.write(value, at)
-    return canonical(lengths) if len(used) > 1 else [0] * len(lengths)
+    return canonical(lengths) if len(used) > 1 else np.zeros(len(lengths), np.int64)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -516,6 +659,13 @@ def _prefix(value: int) -> tuple[int, int, int]:
     return 2 * (n + 1) + (v >> n & 1), v & ((1 << n) - 1), n
 
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix`` of many values."""
+    v = values - 1
+    n = np.maximum(np.frexp(v)[1].astype(np.int64) - 2, 0)
+    return np.where(v < 4, v, 2 * n + 2 + (v >> n & 1)), np.where(v < 4, 0, v & (1 << n) - 1), np.where(v < 4, 0, n)
+
+
 def write_pixels(out: BitWriter, argb: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, group_bits: int = 0) -> None:
     height, width = argb.shape
     pixels = argb.ravel().tolist()
@@ -580,7 +730,7 @@ def write_pixels(out: BitWriter, argb: np.ndarray, main: bool, cache_bits: int =
     for own in counts:
         lengths = [huffman_lengths(c) if sum(1 for x in c if x) != 1 or max(i for i, x in enumerate(c) if x) < 256 else _two(c) for c in own]
         sizes = [n if len(n) - n.count(0) > 1 else [0] * len(n) for n in lengths]
-        codes.append([list(zip(write_code(out, n), size, strict=True)) for n, size in zip(lengths, sizes, strict=True)])
+        codes.append([list(zip(write_code(out, n).tolist(), size, strict=True)) for n, size in zip(lengths, sizes, strict=True)])
     for at, kind, *rest in tokens:
         own = codes[group_of(at)]
         if kind == "literal":
@@ -712,7 +862,7 @@ def _code_of(out: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     codes = write_code(out, lengths)
     alone = np.count_nonzero(lengths) <= 1
     sizes = np.zeros(len(lengths), np.int64) if alone else np.array(lengths, np.int64)
-    return np.array(codes, np.uint64), sizes
+    return codes.astype(np.uint64), sizes
 
 
 def _write_body(out: BitWriter, argb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -730,18 +880,18 @@ def _write_body(out: BitWriter, argb: np.ndarray, width: int) -> tuple[np.ndarra
     literal = np.flatnonzero(single & ~hit)
     hits = np.flatnonzero(hit)
     place, lengths, distances = (np.array(x, np.int64) for x in zip(*copies, strict=True)) if copies else (np.empty(0, np.int64),) * 3
-    length_codes = [_prefix(n) for n in lengths.tolist()]
-    distance_codes = [_prefix(near.get(d, d + len(NEAR))) for d in distances.tolist()]
+    length_codes = _prefixes(lengths)
+    distance_codes = _prefixes(np.array([near.get(d, d + len(NEAR)) for d in distances.tolist()], np.int64))
     channels = [argb >> np.uint32(k) & np.uint32(255) for k in (8, 16, 0, 24)]
     of = [c[literal] for c in channels]  # green, red, blue, alpha
     size = 280 + (1 << cache_bits if cache_bits else 0)
     green = np.bincount(of[0], minlength=size)
     if cache_bits:
         green += np.bincount(280 + slot[hits].astype(np.int64), minlength=size)
-    green += np.bincount(np.array([256 + c[0] for c in length_codes], np.int64), minlength=size)
+    green += np.bincount(256 + length_codes[0], minlength=size)
     # The other channels share a code: its table is made once, and so is its search.
     rest = np.bincount(np.concatenate(of[1:]), minlength=256)
-    far = np.bincount(np.array([c[0] for c in distance_codes], np.int64), minlength=40)
+    far = np.bincount(distance_codes[0], minlength=40)
     out.write(1 if cache_bits else 0, 1)
     if cache_bits:
         out.write(cache_bits, 4)
@@ -766,10 +916,9 @@ def _fields(out, far, literal, of, hits, slot, place, length_codes, distance_cod
     symbols = 280 + slot[hits].astype(np.int64)
     values[n:m, 0], sizes[n:m, 0] = green[0][symbols], green[1][symbols]
     for k, codes, (code, size), base in ((0, length_codes, green, 256), (2, distance_codes, (far_code, far_size), 0)):
-        if codes:
-            symbol, extra, bits = np.array(codes, np.int64).T
-            values[m:, k], sizes[m:, k] = code[base + symbol], size[base + symbol]
-            values[m:, k + 1], sizes[m:, k + 1] = extra.astype(np.uint64), bits
+        symbol, extra, bits = codes
+        values[m:, k], sizes[m:, k] = code[base + symbol], size[base + symbol]
+        values[m:, k + 1], sizes[m:, k + 1] = extra, bits
     order = np.argsort(where, kind="stable")
     return values[order].ravel(), sizes[order].ravel()
 
@@ -808,8 +957,8 @@ def encode_column(data: bytes, width: int) -> bytes:
 
 def _transformed(out: BitWriter, argb: np.ndarray, width: int, height: int) -> tuple[int, np.ndarray]:
     """Writes the transform, if any; the width and pixels left to be coded."""
-    colours = np.unique(argb[:LOOK])
-    colours = np.unique(argb) if len(colours) <= 256 and len(argb) > LOOK else colours
+    look = np.sort(argb[:LOOK])
+    colours = np.unique(argb) if np.count_nonzero(look[1:] != look[:-1]) < 256 else argb
     if len(colours) <= 256 and 4 * len(colours) < len(argb):
         index = np.searchsorted(colours, argb).reshape(height, width)
         packing = palette_bits(len(colours))
@@ -834,8 +983,10 @@ def _transformed(out: BitWriter, argb: np.ndarray, width: int, height: int) -> t
     out.write(kind, 2)
     if kind == PREDICTOR:
         out.write(7, 3)
-        shape = (ceil_shift(height, 9), ceil_shift(width, 9))
-        write_pixels(out, np.full(shape, mode << 8 | 0xFF000000, np.uint32), False)
+        out.write(0, 1)  # an image of one colour: five codes of a symbol each, and no bits for its pixels
+        for symbol in (mode, 0, 0, 255, 0):
+            wide = int(symbol > 1)
+            out.write(1 | wide << 2 | symbol << 3, 11 if wide else 4)
     return width, _residual(pixels, kind, mode).ravel()
 
 

@@ -277,3 +277,33 @@ def test_edge_rows(spark):
     rows = media.media_columns(df).collect()
     assert len(rows) == 4 and len({r.media_sha256 for r in rows}) == 2
     assert media.media_columns(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_reading_at_once_is_reading_pixel_by_pixel(seed, monkeypatch):
+    own = np.random.default_rng(seed)
+    few = own.integers(0, 256, (6, 4)).astype(np.uint8)
+    im = np.where(own.random((40, 30, 1)) < 0.8, few[own.integers(0, 6, (40, 30))], own.integers(0, 256, (40, 30, 4))).astype(np.uint8)
+    data = webp.encode(im, [], [0, 1, 4, 11][seed % 4], seed % 3 > 0)
+    for window in (1, 16, 1 << 11):
+        monkeypatch.setattr(webp, "WINDOW", window)
+        assert (webp.decode(data) == im).all()
+    monkeypatch.setattr(webp, "_at_once", lambda *_: None)
+    assert (webp.decode(data) == im).all()
+
+
+def test_a_cache_that_was_never_filled():
+    w = webp.BitWriter()
+    for value, n in ((0x2F, 8), (15, 14), (15, 14), (1, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)):
+        w.write(value, n)
+    codes = webp.write_code(w, [int(s in (0, 281)) for s in range(282)])
+    for _ in range(4):
+        webp.write_code(w, [0] * 256)
+    for _ in range(256):
+        w.write(int(codes[281]), 1)
+    assert not webp.decode(webp.riff(w.bytes())).any()
+
+
+def test_prefixes_of_many():
+    values = np.arange(1, 5000)
+    assert list(zip(*(x.tolist() for x in webp._prefixes(values)), strict=True)) == [webp._prefix(v) for v in values.tolist()]
