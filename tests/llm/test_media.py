@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -307,3 +308,36 @@ def test_a_cache_that_was_never_filled():
 def test_prefixes_of_many():
     values = np.arange(1, 5000)
     assert list(zip(*(x.tolist() for x in webp._prefixes(values)), strict=True)) == [webp._prefix(v) for v in values.tolist()]
+
+
+def test_files_are_the_same_alone_and_together():
+    texts = samples() + [bytes([k]) * 700 * k for k in range(20)]
+    payloads = [media.payload_of(x) for x in texts]
+    alone = [media.store(p) for p in payloads]
+    assert media.store_many(payloads) == alone and webp.encode_columns(payloads[::-1], 144) == alone[::-1]
+    for files in (alone, alone[::-1]):
+        assert [x.tobytes() for x in webp.decode_many(files)] == [media.load(x).tobytes() for x in files]
+
+
+def test_many_images_share_array_operations():
+    """CPU time of many small images together is well below their sum."""
+    rnd = random.Random(4)
+    payloads = [media.payload_of(rnd.randbytes(300) + b"some words " * rnd.randrange(60)) for _ in range(150)]
+    together, alone = [], []
+    for _ in range(3):
+        began = time.process_time()
+        stored = media.store_many(payloads)
+        media.load_many(stored)
+        between = time.process_time()
+        assert [media.store(p) for p in payloads] == stored
+        [media.load(x) for x in stored]
+        together.append(between - began)
+        alone.append(time.process_time() - between)
+    assert min(together) < 0.6 * min(alone)
+
+
+def test_a_bad_file_among_good_ones():
+    good = webp.encode_column(random.Random(1).randbytes(5760), 144)
+    for bad in (good[:40], good[: len(good) // 2]):
+        with pytest.raises(ValueError):
+            webp.decode_many([good, bad, good])
