@@ -932,6 +932,8 @@ LONGEST = 10
 CACHE_BITS = 8
 GREEN = 280 + (1 << CACHE_BITS)
 LONGEST_COPY = 4096
+#: The last of the 40 distance symbols ends here.
+FARTHEST_COPY = (1 << 20) - len(NEAR)
 #: Pixels by which a transform is chosen.
 LOOK = 1024
 _CHANNEL = np.arange(4) * 256
@@ -957,7 +959,7 @@ def _copies(argb: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray
     again = np.flatnonzero(pairs[order[1:]] == pairs[order[:-1]])
     later, before = order[again + 1], order[again]
     # A pair across two images is the first one's last, so it is nobody's source; here it stops to be a copy.
-    within = (image[later] == image[before]) & (image[later] == image[later + 1])
+    within = (image[later] == image[before]) & (image[later] == image[later + 1]) & (later - before <= FARTHEST_COPY)
     distance = np.zeros(len(argb), np.int64)
     distance[later[within]] = later[within] - before[within]
     change = np.flatnonzero(np.append(True, distance[1:] != distance[:-1]))

@@ -341,3 +341,11 @@ def test_a_bad_file_among_good_ones():
     for bad in (good[:40], good[: len(good) // 2]):
         with pytest.raises(ValueError):
             webp.decode_many([good, bad, good])
+
+
+@pytest.mark.parametrize("gap", [(1 << 20) - 120 - 300, (1 << 20) - 119 - 300])
+def test_repeats_beyond_the_farthest_distance(gap):
+    """The last of the 40 distance symbols ends at 2 ** 20, and 120 codes are those of near pixels."""
+    mark = random.Random(3).randbytes(1200)
+    payload = media.payload_of(mark + bytes(4 * gap) + mark)
+    assert media.load(media.store(payload)).tobytes() == payload
